@@ -45,3 +45,19 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", bound: i
     if len(small.take(bound + 1)) <= bound:
         small = F.broadcast(small)
     return big.join(small, on, how)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write once as Parquet in the shared checkpoint folder and read back.
+
+    For intermediate tables that several jobs read: columnar and compressed,
+    without lineage.  The folder is removed when the application ends.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    where = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoraster.functions.session import table
-from chronoraster.operators import compact, incremental, regular, spikes
+from chronoraster.operators import compact, fill, incremental, regular, spikes
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,18 @@ def p2_flags(spark: SparkSession, d: str) -> DataFrame:
     return spikes.flag_readings(table(spark, d, "raw"), table(spark, d, "cube_meta"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_filled(spark, d).where("filled").select("obs_id")
+
+
+def p3_filled(spark: SparkSession, d: str) -> DataFrame:
+    return fill.fill_missing(table(spark, d, "raw"), table(spark, d, "cube_meta"))
+
+
+def p3_attributes(spark: SparkSession, d: str) -> DataFrame:
+    return fill.fill_attributes(table(spark, d, "cube_meta"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_changes(spark, d).select("cube_id", "label")
 
@@ -93,8 +105,8 @@ SELECT file_id FROM chunk_files WHERE file_id NOT IN (SELECT file_id FROM k)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p4_found, p4_changes, p5_found, p5_compacted)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p3_found, p3_filled, p3_attributes, p4_found, p4_changes, p5_found, p5_compacted)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
