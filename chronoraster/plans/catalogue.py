@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from chronoraster.plans import problems
+from chronoraster.plans import problems, reference
 
 
 def queries() -> dict:
-    return problems.queries()
+    return reference.QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems.oracle_sql()
+    return reference.SQL | problems.oracle_sql()
