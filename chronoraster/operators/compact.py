@@ -7,8 +7,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from chronoraster.functions.session import written
+from chronoraster.sources.parquet_blocks import compact_files
 
 BLOCK = 512  # pixels per unit of work
+TARGET_RECORDS = 4_000_000  # records per output file
 
 
 def _intervals(files: DataFrame) -> DataFrame:
@@ -66,6 +71,18 @@ def live_runs(files: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "file_id bigint, cube_id string, label string, first bigint, n bigint")
 
 
+def copy_plan(files: DataFrame, target_records: int = TARGET_RECORDS) -> DataFrame:
+    """(cube_id, out_no, file_id, label, first, n): which block goes into which output file.
+
+    An output holds whole dates of one cube, in order, until ``target_records``.
+    """
+    runs = live_runs(files)
+    size = runs.groupBy("cube_id", "label").agg(F.sum("n").alias("records"))
+    before = F.sum("records").over(Window.partitionBy("cube_id").orderBy("label").rowsBetween(Window.unboundedPreceding, -1))
+    place = size.select("cube_id", "label", F.floor(F.coalesce(before, F.lit(0)) / target_records).alias("out_no"))
+    return runs.join(place, ["cube_id", "label"])
+
+
 def superfluous_files(files: DataFrame) -> DataFrame:
     """(file_id) of files that can go without loss of a record's last version."""
     needed = live_runs(files).select("file_id").distinct()
@@ -96,3 +113,20 @@ def compacted(files: DataFrame) -> DataFrame:
     piece = F.when(whole, F.col("vals")).otherwise(F.slice("vals", (F.col("r.first") - F.col("first_pixel") + 1).cast("int"), F.col("r.n").cast("int")))
     out = one.select("cube_id", "label", F.col("r.first").alias("first_pixel"), piece.alias("vals"))
     return out.repartitionByRange("cube_id", "label", "first_pixel").sortWithinPartitions("cube_id", "label", "first_pixel")
+
+
+def rewrite(files: DataFrame, pieces: int = 64, target_bytes: int = 128 << 20) -> DataFrame:
+    """``compacted`` through files: the live blocks as small Parquet files, and those copied
+    block by block into few large ones without decoding (see ``parquet_blocks``)."""
+    spark = files.sparkSession
+    small = written(compacted(files).select("cube_id", "label", "first_pixel", "vals").repartition(pieces, "cube_id", "label"), "tiny")
+    paths = small.inputFiles()
+    if not paths:
+        return small
+    report = compact_files(spark, paths, paths[0].rsplit("/", 1)[0] + "-large", target_bytes, one_schema=True)
+    out = [r["path"] for r in report.collect()]
+    if not out:
+        return small
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out[0].rsplit("/", 1)[0])
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(small.schema).parquet(*out)

@@ -146,8 +146,8 @@ def smooth(
 
 
 def stored(z: Column) -> Column:
-    """Rounded half even and kept within the 16-bit range, as cubes hold it."""
-    return F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), F.rint(z))).cast("smallint")
+    """Rounded half even and kept within the 16-bit range, as cubes hold it; null stays null."""
+    return F.when(z.isNotNull(), F.greatest(F.lit(-32767.0), F.least(F.lit(32767.0), F.rint(z)))).cast("smallint")
 
 
 def lag1corr_expr(y: Column, w: Column) -> Column:

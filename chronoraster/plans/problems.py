@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoraster.functions.session import table
 from chronoraster.operators import compact, fill, incremental, regular, spikes
@@ -52,6 +53,17 @@ def p5_compacted(spark: SparkSession, d: str) -> DataFrame:
     return compact.compacted(table(spark, d, "chunk_files"))
 
 
+def p5_plan(spark: SparkSession, d: str) -> DataFrame:
+    plan = compact.copy_plan(table(spark, d, "chunk_files"))
+    return plan.groupBy("cube_id", "out_no").agg(F.countDistinct("file_id").alias("n_files"), F.sum("n").alias("n_records"))
+
+
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record of the rewritten files."""
+    out = compact.rewrite(table(spark, d, "chunk_files"))
+    return out.select("cube_id", "label", "first_pixel", F.posexplode("vals").alias("i", "value")).select("cube_id", "label", (F.col("first_pixel") + F.col("i")).alias("pixel"), "value")
+
+
 META_SQL = r"""
 b AS (SELECT *, nullif(regexp_extract(cube_id, '^[^/]*/([^./]+)\.', 1), '') AS product FROM cube_meta),
 pm AS (SELECT product, max(nodata) AS nd, max(temporalresolution) AS tr, max(vmin) AS lo, max(vmax) AS hi FROM b GROUP BY 1),
@@ -104,9 +116,15 @@ SELECT file_id FROM chunk_files WHERE file_id NOT IN (SELECT file_id FROM k)
 """
 
 
+P5_RECORDS_SQL = """
+WITH r AS (SELECT file_id, cube_id, rtrim(label) AS label, written_at, first_pixel + unnest(range(len(vals))) AS pixel, unnest(vals) AS value FROM chunk_files WHERE len(vals) > 0)
+SELECT cube_id, label, pixel, value FROM r QUALIFY row_number() OVER (PARTITION BY cube_id, label, pixel ORDER BY written_at DESC NULLS LAST, file_id DESC) = 1
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p3_found, p3_filled, p3_attributes, p4_found, p4_changes, p5_found, p5_compacted)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p3_found, p3_filled, p3_attributes, p4_found, p4_changes, p5_found, p5_compacted, p5_plan, p5_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_records": P5_RECORDS_SQL}
