@@ -160,8 +160,14 @@ class ChunkEncoder:
         first = np.full(code.max() + 1, -1, np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         # a piece whose bytes are not those of its code's first piece gets a code of its own
-        same = data == data[_ragged(starts[first[code]], np.minimum(size, size[first[code]]))] if (size == size[first[code]]).all() else None
-        wrong = np.flatnonzero(size != size[first[code]]) if same is None else np.unique(np.searchsorted(starts, np.flatnonzero(~same), "right") - 1)
+        like = first[code]
+        bad = size != size[like]
+        rest = np.flatnonzero(~bad)
+        own = data if len(rest) == len(code) else data[_ragged(starts[rest], size[rest])]
+        other = np.flatnonzero(own != data[_ragged(starts[like[rest]], size[rest])])
+        if len(other):
+            bad[rest[np.searchsorted(np.cumsum(size[rest]), other, "right")]] = True
+        wrong = np.flatnonzero(bad)
         if len(wrong):
             code = code.copy()
             code[wrong] = len(first) + np.arange(len(wrong))
