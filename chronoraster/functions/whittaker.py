@@ -13,33 +13,88 @@ MIN_LENGTH = 4
 ROUNDS = 10  # most iterations of the asymmetric weights
 
 
+def _edges(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonal and first off-diagonal of D'D."""
+    a, b = np.full(n, 6.0), np.full(n, -4.0)
+    a[[0, -1]], a[[1, -2]] = 1.0, 5.0
+    b[[0, -2]], b[-1] = -2.0, 0.0
+    return a, b
+
+
+def _factor(w: np.ndarray, lam) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """LDL' factors (1/d, c, e) over time, for all columns of ``w``.
+
+    With m = c d, m and e d = lam follow from the steps before by products alone,
+    so each step takes one division.
+    """
+    n = len(w)
+    a, b = _edges(n)
+    inv, c, e = (np.zeros((n + 2, *w.shape[1:])) for _ in range(3))
+    m, d, t = np.zeros(w.shape[1:]), np.empty(w.shape[1:]), np.empty(w.shape[1:])
+    for i in range(n):
+        np.multiply(lam, a[i], out=d)
+        d += w[i]
+        np.multiply(c[i - 1], m, out=t)
+        d -= t
+        np.multiply(e[i - 2], lam, out=t)
+        d -= t
+        np.divide(1.0, d, out=inv[i])
+        m *= e[i - 1]
+        np.multiply(lam, b[i], out=t)
+        np.subtract(t, m, out=m)
+        np.multiply(m, inv[i], out=c[i])
+        if i < n - 2:
+            np.multiply(inv[i], lam, out=e[i])
+    c[n - 1] = 0.0
+    return inv, c, e
+
+
 def ws2d(y: np.ndarray, lam, w: np.ndarray) -> np.ndarray:
-    """Fixed penalty; ``lam`` is a number or one number per series."""
+    """Fixed penalty; ``lam`` is a number or one number per series.
+
+    Series with equal weights and penalty share their factors.
+    """
     n = len(y)
     if n < MIN_LENGTH:
         raise ValueError(f"a series needs {MIN_LENGTH} steps at least")
-    lam = np.broadcast_to(np.asarray(lam, float), y.shape[1:])
-    d, c, e, z = (np.zeros((n + 2, *y.shape[1:])) for _ in range(4))
-    for i in range(n):
-        edge = min(i, n - 1 - i)
-        a = 1.0 if edge == 0 else 5.0 if edge == 1 else 6.0
-        b = -2.0 if i in (0, n - 2) else 0.0 if i == n - 1 else -4.0
-        d[i] = w[i] + a * lam - c[i - 1] ** 2 * d[i - 1] - e[i - 2] ** 2 * d[i - 2]
-        c[i] = (b * lam - d[i - 1] * c[i - 1] * e[i - 1]) / d[i]
-        e[i] = lam / d[i] if i < n - 2 else 0.0
-        z[i] = w[i] * y[i] - c[i - 1] * z[i - 1] - e[i - 2] * z[i - 2]
-    c[n - 1] = 0.0
+    lam = np.asarray(lam, float)
+    same = lam.ndim == 0 and y.shape[1] > 1 and bool((w == w[:, :1]).all())
+    if same:
+        inv, c, e = (f[:, 0].tolist() for f in _factor(w[:, :1], lam))
+    else:
+        inv, c, e = _factor(w, np.broadcast_to(lam, y.shape[1:]))
+    z = np.empty((n + 2, *y.shape[1:]))
+    z[n:] = 0.0
+    np.multiply(w, y, out=z[:n])
+    t = np.empty(y.shape[1:])
+    for i in range(1, n):
+        np.multiply(z[i - 1], c[i - 1], out=t)
+        z[i] -= t
+        if i > 1:
+            np.multiply(z[i - 2], e[i - 2], out=t)
+            z[i] -= t
     for i in range(n - 1, -1, -1):
-        z[i] = z[i] / d[i] - c[i] * z[i + 1] - e[i] * z[i + 2]
+        z[i] *= inv[i]
+        np.multiply(z[i + 1], c[i], out=t)
+        z[i] -= t
+        np.multiply(z[i + 2], e[i], out=t)
+        z[i] -= t
     return z[:n]
 
 
 def _envelope(y, lam, w, p, z):
+    """Reweight and solve up to ``ROUNDS`` times; a series whose curve repeats is done."""
+    z = z.copy()
+    lam = np.asarray(lam, float)
+    todo = np.arange(y.shape[1])
     for _ in range(ROUNDS):
-        new = ws2d(y, lam, w * np.where(y > z, p, 1 - p))
-        if np.array_equal(new, z):
+        yy, zz = y[:, todo], z[:, todo]
+        new = ws2d(yy, lam if lam.ndim == 0 else lam[todo], w[:, todo] * np.where(yy > zz, p, 1 - p))
+        moved = (new != zz).any(axis=0)
+        todo = todo[moved]
+        if not len(todo):
             break
-        z = new
+        z[:, todo] = new[:, moved]
     return z
 
 

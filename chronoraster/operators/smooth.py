@@ -14,7 +14,7 @@ from chronoraster.functions.axis import target_days
 from chronoraster.functions.whittaker import MIN_LENGTH
 
 COVERAGE = 0.2  # least share of valid steps
-ROWS = 2000  # series per kernel call
+ROWS = 1000  # series per kernel call; a step's vectors stay in the cache
 INTERPOLATION_PENALTY = 1e-4
 
 
@@ -151,18 +151,31 @@ def stored(z: Column) -> Column:
 
 
 def lag1corr_expr(y: Column, w: Column) -> Column:
-    """Lag-1 correlation of array columns, JVM side; null where undefined."""
-    n = F.size(y)
-    pairs = F.filter(
-        F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.element_at(y, i).alias("a"), F.element_at(y, i + 1).alias("b"), (F.element_at(w, i) * F.element_at(w, i + 1)).alias("w"))),
-        lambda x: x["w"] > 0,
-    )
-    total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + f(x))
-    m = F.size(pairs).cast("double")
-    ma, mb = F.try_divide(total(lambda x: x["a"]), m), F.try_divide(total(lambda x: x["b"]), m)
-    va = F.try_divide(total(lambda x: (x["a"] - ma) * (x["a"] - ma)), m)
-    vb = F.try_divide(total(lambda x: (x["b"] - mb) * (x["b"] - mb)), m)
-    return F.try_divide(F.try_divide(total(lambda x: x["a"] * x["b"]), m) - ma * mb, F.sqrt(va) * F.sqrt(vb))
+    """Lag-1 correlation of array columns, JVM side; null where undefined.
+
+    One pass over moments about the first valid value, which makes them exact
+    zeros for a constant series.
+    """
+    pairs = F.sequence(F.lit(2), F.size(y))
+    first = F.aggregate(F.sequence(F.lit(1), F.size(y)), F.lit(None).cast("double"), lambda acc, i: F.coalesce(acc, F.when(F.element_at(w, i) > 0, F.element_at(y, i))))
+    names = ("n", "a", "b", "aa", "bb", "ab")
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
+
+    def add(origin: Column):
+        def step(acc: Column, i: Column) -> Column:
+            a, b = F.element_at(y, i - 1) - origin, F.element_at(y, i) - origin
+            new = dict(zip(names, (F.lit(1.0), a, b, a * a, b * b, a * b)))
+            return F.when((F.element_at(w, i - 1) > 0) & (F.element_at(w, i) > 0), F.struct(*[(acc[k] + new[k]).alias(k) for k in names])).otherwise(acc)
+
+        return step
+
+    def result(m: Column) -> Column:
+        va, vb = m["aa"] - m["a"] * F.try_divide(m["a"], m["n"]), m["bb"] - m["b"] * F.try_divide(m["b"], m["n"])
+        return F.try_divide(m["ab"] - m["a"] * F.try_divide(m["b"], m["n"]), F.when((va > 0) & (vb > 0), F.sqrt(va) * F.sqrt(vb)))
+
+    # one-element arrays bind a value, so that it is computed once
+    moments = F.transform(F.array(first), lambda o: F.aggregate(pairs, zero, add(o)))
+    return F.transform(moments, result)[0]
 
 
 def range_choice(corr: Column) -> Column:
