@@ -10,11 +10,14 @@ Input is one row per series, left-aligned and in time order.  Three faults:
   half axes are the universal threshold sqrt(2 ln n) times the series' robust
   scales (median absolute deviation; the last ellipse is turned by the
   regression angle).  Candidates are replaced by the neighbours' median, and
-  the rest is tested again until no new ones appear.  A candidate, alone or with one
-  neighbour, is a spike if it stands off the line between the medians of the
-  readings before and after it by ``SPIKE_SCALES`` robust scales, and off both
-  medians, to the same side, by ``SIDE_SHARE`` of that: after a lasting change
-  of level a reading stands near what follows.
+  the rest is tested again until no new ones appear.  A candidate, alone or with
+  one neighbour, is a spike if it stands off the line between the readings before
+  and after it by ``SPIKE_SCALES`` times the series' noise (robust scale about
+  the line through both neighbours), and off both sides, to the same side, by
+  ``SIDE_SHARE`` of that: after a lasting change of level a reading stands near
+  what follows.  Both must hold for the medians of ``NEAR`` readings on each side
+  and, with ``NEAREST_SHARE`` of the limits, for the nearest ones, so that the
+  turn of a steep season is no spike.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import warnings
 import numpy as np
 
 STUCK_RUN = 6
-SPIKE_SCALES = 5.0
+SPIKE_SCALES = 6.5
 SIDE_SHARE = 0.6
+NEAREST_SHARE = 0.75
 ROUNDS = 4
 NEAR = 3  # readings looked at on either side
 
@@ -71,10 +75,6 @@ def _stack_median(layers: list[np.ndarray]) -> np.ndarray:
     return 0.5 * (np.take_along_axis(s, lo[None], 0)[0] + np.take_along_axis(s, hi[None], 0)[0])
 
 
-def _fill_sides(x: np.ndarray, bad: np.ndarray) -> np.ndarray:
-    return np.where(bad, np.nan, x)
-
-
 def _compact(keep: np.ndarray, *arrays: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Move kept cells to the left, in order; the rest becomes NaN. Also gives each cell's source column."""
     order = np.argsort(~keep, axis=1, kind="stable")
@@ -128,9 +128,9 @@ def candidates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bad, su[:, 0]
 
 
-def _side(x: np.ndarray, day: np.ndarray, direction: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-    """Median value and mean day of the NEAR readings beyond ``skip`` cells on one side."""
-    ks = [direction * k for k in range(skip, skip + NEAR)]
+def _side(x: np.ndarray, day: np.ndarray, direction: int, skip: int, readings: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median value and mean day of the nearest readings beyond ``skip`` cells on one side."""
+    ks = [direction * k for k in range(skip, skip + readings)]
     values, days = [_shift(x, k) for k in ks], [_shift(day, k) for k in ks]
     seen = np.isfinite(np.stack(values))
     n = seen.sum(axis=0)
@@ -138,32 +138,48 @@ def _side(x: np.ndarray, day: np.ndarray, direction: int, skip: int) -> tuple[np
     return _stack_median(values), np.where(n > 0, mean_day, np.nan)
 
 
+def noise(x: np.ndarray, day: np.ndarray) -> np.ndarray:
+    """Robust scale of a series' readings about the line through their two neighbours."""
+    a, b, da, db = _shift(x, -1), _shift(x, 1), _shift(day, -1), _shift(day, 1)
+    return _scale(x - (a + (b - a) * (day - da) / np.maximum(db - da, 1e-9))) / np.sqrt(1.5)
+
+
+def _stands_off(xc, dc, width: int, readings: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far ``width`` readings from each cell on stand off the line between both sides, and off each side.
+
+    A side is the median of its ``readings`` nearest readings.  NaN where one side
+    has none; 0 off the sides where they do not stand to the same side of both.
+    """
+    before, day_before = _side(xc, dc, -1, 1, readings)
+    after, day_after = _side(xc, dc, 1, width, readings)
+    span = np.maximum(day_after - day_before, 1e-9)
+    line_off = side_off = np.inf
+    sign = 0.0
+    for k in range(width):
+        here = _shift(xc, k)
+        off_b, off_a = here - before, here - after
+        line_off = np.minimum(line_off, np.abs(here - before - (after - before) * (_shift(dc, k) - day_before) / span))
+        sign = sign + np.sign(off_b) + np.sign(off_a)
+        side_off = np.minimum(side_off, np.minimum(np.abs(off_b), np.abs(off_a)))
+    return line_off, np.where(np.abs(sign) == 2 * width, side_off, np.where(np.isfinite(sign), 0.0, np.nan))
+
+
 def spikes(x: np.ndarray, day: np.ndarray) -> np.ndarray:
-    bad, sigma = candidates(x)
-    limit = SPIKE_SCALES * np.maximum(sigma, 1.0)[:, None]
+    bad, _ = candidates(x)
+    limit = SPIKE_SCALES * np.maximum(noise(x, day), 1.0)[:, None]
     found = np.zeros(x.shape, bool)
     for _ in range(2):
         # spikes found in the first pass do not stand as neighbours in the second
         base = np.where(found, np.nan, x)
         order, (xc, dc) = _compact(np.isfinite(base), base, day)
-        new = np.zeros(xc.shape, bool)
         cand = np.take_along_axis(bad, np.maximum(order, 0), 1) & (order >= 0)
+        new = np.zeros(xc.shape, bool)
         for width in (1, 2):
-            before, day_before = _side(xc, dc, -1, 1)
-            after, day_after = _side(xc, dc, 1, width)
-            span = np.maximum(day_after - day_before, 1e-9)
-            ok = np.isfinite(before) & np.isfinite(after)
-            least = near = np.inf
-            for k in range(width):
-                here = _shift(xc, k)
-                line = before + (after - before) * (_shift(dc, k) - day_before) / span
-                least = np.minimum(least, np.abs(here - line))
-                near = np.minimum(near, np.where((here - before) * (here - after) > 0, np.minimum(np.abs(here - before), np.abs(here - after)), 0))
-            if width == 2:
-                near = np.where((xc - before) * (_shift(xc, 1) - before) > 0, near, 0)
-            ok &= np.isfinite(near)
             some = cand if width == 1 else cand | (np.nan_to_num(_shift(cand.astype(float), 1)) > 0)
-            hit = ok & some & (least > limit) & (near > SIDE_SHARE * limit)
+            hit = some & np.isfinite(xc)
+            for readings, share in ((NEAR, 1.0), (1, NEAREST_SHARE)):
+                line_off, side_off = _stands_off(xc, dc, width, readings)
+                hit &= (line_off > share * limit) & (side_off > SIDE_SHARE * share * limit)
             if width == 2:
                 hit &= ~new & ~(np.nan_to_num(_shift(new.astype(float), 1)) > 0)
             new |= hit

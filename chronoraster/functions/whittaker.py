@@ -84,17 +84,22 @@ def ws2d(y: np.ndarray, lam, w: np.ndarray) -> np.ndarray:
 
 def _envelope(y, lam, w, p, z):
     """Reweight and solve up to ``ROUNDS`` times; a series whose curve repeats is done."""
-    z = z.copy()
     lam = np.asarray(lam, float)
-    todo = np.arange(y.shape[1])
+    todo, yy, ww, zz = None, y, w, z
     for _ in range(ROUNDS):
-        yy, zz = y[:, todo], z[:, todo]
-        new = ws2d(yy, lam if lam.ndim == 0 else lam[todo], w[:, todo] * np.where(yy > zz, p, 1 - p))
-        moved = (new != zz).any(axis=0)
-        todo = todo[moved]
-        if not len(todo):
+        zz = ws2d(yy, lam, ww * np.where(yy > zz, p, 1 - p))
+        old = z if todo is None else z[:, todo]
+        moved = (zz != old).any(axis=0)
+        if todo is None:
+            z = zz.copy()
+        else:
+            z[:, todo] = zz
+        if not moved.any():
             break
-        z[:, todo] = new[:, moved]
+        if moved.mean() < 0.6:  # go on with the series that still move
+            todo = np.flatnonzero(moved) if todo is None else todo[moved]
+            yy, ww, zz = yy[:, moved], ww[:, moved], zz[:, moved]
+            lam = lam if lam.ndim == 0 else lam[moved]
     return z
 
 
