@@ -49,6 +49,28 @@ def _equal_lengths(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             i = j
 
 
+def solve(y: np.ndarray, w: np.ndarray, s: np.ndarray, svalue: float | None, p: float | None, optimise: bool, srange: list[float] | None) -> tuple[np.ndarray, np.ndarray]:
+    """(curves, log10 penalties) of a batch: V-curve, fixed penalty, or one penalty per series."""
+    from chronoraster.functions import whittaker as k
+
+    if not optimise:
+        log = np.full(y.shape[1], svalue, float) if svalue is not None else np.nan_to_num(s)
+        lam = 10.0**svalue if svalue is not None else 10.0**log
+        return (k.ws2d(y, lam, w) if p is None else k.ws2dp(y, lam, w, p)), log
+    one = lambda y, w, r: k.ws2doptv(y, w, r) if p is None else k.ws2doptvp(y, w, r, p)
+    if srange is not None:
+        z, opt = one(y, w, np.asarray(srange, float))
+        return z, np.log10(opt)
+    which = k.auto_range(k.lag1corr(y, w > 0))
+    z, log = np.empty_like(y), np.empty(y.shape[1])
+    for i, r in enumerate(k.AUTO_RANGES):
+        here = which == i
+        if here.any():
+            z[:, here], opt = one(y[:, here], w[:, here], r)
+            log[here] = np.log10(opt)
+    return z, log
+
+
 def smooth(
     series: DataFrame,
     keys: list[str],
@@ -100,24 +122,6 @@ def smooth(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from chronoraster.functions import whittaker as k
 
-        def penalty(y, w, s):
-            """(z, log10 penalty) of the series to smooth."""
-            if not optimise:
-                log = np.full(y.shape[1], svalue, float) if svalue is not None else np.nan_to_num(s)
-                return (k.ws2d(y, 10.0**log, w) if p is None else k.ws2dp(y, 10.0**log, w, p)), log
-            one = lambda y, w, r: k.ws2doptv(y, w, r) if p is None else k.ws2doptvp(y, w, r, p)
-            if srange is not None:
-                z, opt = one(y, w, np.asarray(srange, float))
-                return z, np.log10(opt)
-            which = k.auto_range(k.lag1corr(y, w > 0))
-            z, log = np.empty_like(y), np.empty(y.shape[1])
-            for i, r in enumerate(k.AUTO_RANGES):
-                here = which == i
-                if here.any():
-                    z[:, here], opt = one(y[:, here], w[:, here], r)
-                    log[here] = np.log10(opt)
-            return z, log
-
         for whole in batches:
             for b in _equal_lengths(whole):
                 y, w = _matrix(b.column("y")), _matrix(b.column("w"))
@@ -128,7 +132,7 @@ def smooth(
                 enough = (w > 0).sum(axis=0) >= COVERAGE * len(y)
                 z, log = np.where(w > 0, y, np.nan), np.full(y.shape[1], np.nan)
                 if enough.any():
-                    z[:, enough], log[enough] = penalty(y[:, enough], w[:, enough], s[enough])
+                    z[:, enough], log[enough] = solve(y[:, enough], w[:, enough], s[enough], svalue, p, optimise, srange)
                 if interpolate:
                     out = np.full((len(pick), y.shape[1]), np.nan)
                     if enough.any():

@@ -7,7 +7,6 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from chronoraster.functions import axis as A
 from chronoraster.functions.catalyst import ws2d_expr
@@ -15,6 +14,7 @@ from chronoraster.functions.session import table
 from chronoraster.functions.whittaker import AUTO_RANGES
 from chronoraster.operators import cube, granules, raster, smooth
 from chronoraster.operators.standing import complete_meta, standing
+from chronoraster.plans import pipelines
 from chronoraster.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -511,20 +511,45 @@ def tail_update(spark, d):
 
 @query(None)
 def smooth_raw(spark, d):
-    """Raw cubes end to end: standing readings, regular grid, V-curve smoothing of each pixel's years.
-
-    Cubes have axes of their own; a pixel's series is its grid by position, and
-    series are smoothed per length in the kernel's batches.
-    """
-    from chronoraster.plans.problems import p1_grid
-
-    g = p1_grid(spark, d)
-    w = F.when(F.col("value").isNotNull(), 1.0).otherwise(0.0)
-    s = g.groupBy("cube_id", "pixel_id").agg(F.array_sort(F.collect_list(F.struct("period", F.coalesce("value", F.lit(0.0)).alias("y"), w.alias("w")))).alias("o"))
-    s = s.select("cube_id", "pixel_id", F.transform("o", lambda x: x["period"]).alias("periods"), F.transform("o", lambda x: x["y"]).alias("y"), F.transform("o", lambda x: x["w"]).alias("w"))
-    z = smooth.smooth(s.where(F.size("y") >= 4), ["cube_id", "pixel_id", "periods"], optimise=True)
-    z = z.select("cube_id", "pixel_id", "log10_s", F.explode(F.arrays_zip("periods", "z")).alias("o"))
-    return z.select("cube_id", "pixel_id", F.col("o.periods").alias("period"), smooth.stored(F.col("o.z")).alias("value"), "log10_s")
+    """All raw cubes at once: V-curve smoothing of each pixel, then values at dekads."""
+    return pipelines.smooth_cubes(table(spark, d, "raw"), table(spark, d, "cube_meta"), optimise=True, step=10)
+
+
+@query(None)
+def smooth_tail(spark, d):
+    """The last 36 dates of each raw cube in, the last 6 out, fixed penalty and envelope."""
+    return pipelines.smooth_cubes(table(spark, d, "raw"), table(spark, d, "cube_meta"), svalue=1.0, p=0.9, nsmooth=36, nupdate=6)
+
+
+@query(
+    """WITH b AS (SELECT *, nullif(regexp_extract(cube_id, '^[^/]*/([^./]+)\\.', 1), '') AS product FROM cube_meta),
+    pm AS (SELECT product, max(vmin) AS lo, max(vmax) AS hi FROM b GROUP BY 1),
+    m AS (SELECT cube_id, cols, vamcode, coalesce(vmin, lo) AS vmin, coalesce(vmax, hi) AS vmax FROM b LEFT JOIN pm USING (product)),
+    s AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY cube_id, pixel_id, obs_date ORDER BY proc_ts DESC, obs_id DESC) = 1)
+    SELECT lower(coalesce(nullif(trim(vamcode), ''), 'x')) || strftime(obs_date, '%Yj%j') AS image, s.cube_id, (pixel_id // cols)::BIGINT AS row, (pixel_id % cols)::BIGINT AS col,
+    round_even(greatest(vmin, least(vmax, value::DOUBLE)) / 10::DOUBLE, 0) * 10::DOUBLE + 0.0::DOUBLE AS value
+    FROM s JOIN m ON s.cube_id = m.cube_id WHERE value IS NOT NULL AND obs_date BETWEEN DATE '2008-01-01' AND DATE '2008-12-31'"""
+)
+def export_raw(spark, d):
+    s = standing(table(spark, d, "raw")).where("value is not null").drop("obs_id")
+    out = pipelines.export(s, table(spark, d, "cube_meta"), None, date(2008, 1, 1), date(2008, 12, 31), rounding=1)
+    return out.select("image", "cube_id", "row", F.col("col").cast("bigint").alias("col"), (F.col("value") + F.lit(0.0)).alias("value"))
+
+
+@query(
+    with_sql(
+        PARSED_SQL,
+        """px AS (SELECT path, i::BIGINT AS pixel_id, ((granule_id * 7 + i) % 1000)::SMALLINT AS value FROM granules, range(3) t(i)),
+        r AS (SELECT path, 'VIM/' || concat_ws('.', CASE WHEN product LIKE 'VNP%' THEN product ELSE 'MXD' || substr(product, 4) END, tile, version, 'VIM') AS cube_id, raw_date, proc_ts FROM (SELECT DISTINCT * FROM pg)
+              WHERE product LIKE '___13%' AND (product LIKE 'VNP%' AND raw_date >= DATE '2012-01-17' OR product NOT LIKE 'VNP%' AND raw_date >= DATE '2002-07-04')),
+        f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY cube_id, raw_date ORDER BY proc_ts DESC, path DESC) = 1)""",
+        "SELECT cube_id, pixel_id, raw_date AS obs_date, value FROM px JOIN f ON f.path = px.path",
+    )
+)
+def collect_cubes(spark, d):
+    g = table(spark, d, "granules").select("path", "granule_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    pixels = g.select("path", F.col("i").cast("bigint").alias("pixel_id"), ((F.col("granule_id") * 7 + F.col("i")) % 1000).cast("smallint").alias("value"))
+    return pipelines.collect(pixels, "VIM")
 
 
 # ---- rasters: rows are vectors, columns their positions
