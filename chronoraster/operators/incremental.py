@@ -9,6 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoraster.functions.session import join_small
+from chronoraster.operators.standing import MAX_CUBES
+
 KEY = ["cube_id", "label"]
 
 
@@ -41,7 +44,7 @@ def manifests(granules: DataFrame, run_log: DataFrame) -> DataFrame:
     """
     runs = last_success(run_log)
     g = granules.select("cube_id", granule_label(granules).alias("label"), "proc_ts", "granule_id", "cksum", "collected_at").dropna(subset=KEY)
-    g = g.join(runs.select("cube_id", "processed_at"), "cube_id", "left")
+    g = join_small(g, runs.select("cube_id", "processed_at"), "cube_id", "left", MAX_CUBES)
     entry = F.struct("proc_ts", "granule_id", "cksum")
     files = g.groupBy(*KEY).agg(F.max(entry).alias("current"), F.max(F.when(F.col("collected_at") <= F.col("processed_at"), entry)).alias("processed"))
     used = runs.select("cube_id", F.explode("used").alias("label"), F.lit(True).alias("in_run"))

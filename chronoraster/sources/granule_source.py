@@ -53,6 +53,15 @@ class GranuleReader(DataSourceReader):
                 yield part.path, (part.first_row + i) * ds.RasterXSize + j, None if gone else int(v)
 
 
+def reference_metadata(path: str, code: str = "VIM") -> dict:
+    """Size, affine transform, projection, resolution and code for missing data of a granule's subdataset."""
+    ds = GranuleReader({"path": path, "code": code})._open(path)
+    if ds is None:
+        raise OSError(f"unreadable granule {path}")
+    gt = ds.GetGeoTransform()
+    return {"rows": ds.RasterYSize, "cols": ds.RasterXSize, "geotransform": list(gt), "projection": ds.GetProjection(), "resolution": [gt[1], gt[5]], "nodata": ds.GetRasterBand(1).GetNoDataValue()}
+
+
 class GranuleSource(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -248,3 +248,42 @@ def test_parquet_blocks_are_copied(spark, tmp_path):
     pq.write_table(pa.table({"other": [1]}), str(tmp_path / "odd.parquet"))
     with pytest.raises(Exception, match="schema"):
         parquet_blocks.compact_files(spark, [*paths, str(tmp_path / "odd.parquet")], str(tmp_path / "out2"), one_schema=True).collect()
+
+
+def test_downloads_are_validated_and_retried(tmp_path):
+    from chronoraster.sources import download as d
+
+    src, out, mirror = (tmp_path / n for n in ("src", "out", "mirror"))
+    for f in (src, out, mirror):
+        f.mkdir()
+    (src / "a").write_bytes(b"123456789")
+    url = (src / "a").as_uri()
+    slept = []
+    left = d.fetch_all([d.Wanted("a", url, 9, "CKSUM", "930766865"), d.Wanted("b", url, 8), d.Wanted("c", url + "x")], out, rounds=3, sleep=slept.append, mirror=mirror)
+    assert left == ["b", "c"] and slept == [2, 4] and (out / "a").is_symlink() and not list(mirror.glob("*.part"))
+    assert [w for w, _ in zip(d.waits(), range(10))][-1] == 450
+    assert d.search_parameters(["mod13a2"], "006", dt.date(2020, 1, 1), None, (1, 2)) == [{"short_name": "MOD13A2", "version": "006", "temporal": "2020-01-01T00:00:00Z,", "point": "1,2"}]
+    with pytest.raises(ValueError):
+        d.search_parameters(["x"], "1", aoi=(1, 2, 3))
+
+
+def test_granule_source_needs_gdal():
+    from chronoraster.sources.granule_source import GranuleSource
+
+    src = GranuleSource({"path": "x.hdf"})
+    assert src.name() == "granule" and "pixel_id" in src.schema()
+    try:
+        import osgeo  # noqa: F401
+    except ImportError:
+        with pytest.raises(RuntimeError, match="GDAL"):
+            src.reader(None).partitions()
+
+
+def test_search_response_and_sidecar(spark):
+    e = spark.createDataFrame([("MOD13A2.A2020001.h01v02.006.2020010101010.hdf", "2020-01-01T00:00:00.000Z", "2020-01-16T23:59:59.000Z", "u", [("L",)]), ("MOD13C1.A2020001.006.2020010101010.hdf", "2020-01-17T00:00:00.000Z", None, None, [("K",)])], "producer_granule_id string, time_start string, time_end string, updated string, links array<struct<href:string>>")
+    r = files.parse_search(e).collect()
+    assert (r[0].tile, r[0].time_start, r[0].link, r[1].tile) == ("h01v02", dt.date(2020, 1, 1), "L", None)
+    assert granules.search_filter(files.parse_search(e), ["h09v09"]).count() == 1
+    x = spark.createDataFrame([("<a><FileSize>7526571</FileSize><ChecksumType>CKSUM</ChecksumType><Checksum>1534015008</Checksum></a>",)], "xml string")
+    s = files.parse_sidecars(x).first()
+    assert (s.file_size, s.checksum_type, s.checksum, s.file_name) == (7526571, "CKSUM", "1534015008", None)
