@@ -41,9 +41,14 @@ def bounded_rows(df: DataFrame, bound: int, what: str) -> list:
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", bound: int = 20_000) -> DataFrame:
-    """Broadcast ``small`` when it has at most ``bound`` rows, else a shuffled join."""
-    if len(small.take(bound + 1)) <= bound:
-        small = F.broadcast(small)
+    """Broadcast ``small`` when it has at most ``bound`` rows, else a shuffled join.
+
+    Rows within the bound are fetched for the check and sent out as they are, so
+    that ``small`` is computed once.
+    """
+    rows = small.limit(bound + 1).toArrow()
+    if rows.num_rows <= bound:
+        small = F.broadcast(big.sparkSession.createDataFrame(rows, schema=small.schema))
     return big.join(small, on, how)
 
 

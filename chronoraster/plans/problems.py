@@ -25,6 +25,11 @@ def p2_flags(spark: SparkSession, d: str) -> DataFrame:
     return spikes.flag_readings(table(spark, d, "raw"), table(spark, d, "cube_meta"))
 
 
+def p2_exact(spark: SparkSession, d: str) -> DataFrame:
+    """Readings out of range or in a run of equal values: the faults that SQL can state."""
+    return p2_flags(spark, d).where("fault & 3 > 0").selectExpr("obs_id", "fault & 3 as fault")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_filled(spark, d).where("filled").select("obs_id")
 
@@ -89,6 +94,20 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.cube_id = e.cube_id AND p.pixel_id = e
 """
 )
 
+P2_SQL = (
+    "WITH "
+    + META_SQL
+    + """,
+v AS (SELECT s.*, vmin, vmax FROM s LEFT JOIN m ON s.cube_id = m.cube_id
+      WHERE NOT (value IS NULL OR CASE WHEN product LIKE 'VNP%' THEN value IN (-15000, -13000) ELSE coalesce(value = nodata, FALSE) END)),
+c AS (SELECT *, sum(CASE WHEN value = prev THEN 0 ELSE 1 END) OVER (PARTITION BY cube_id, pixel_id ORDER BY obs_date) AS run
+      FROM (SELECT *, lag(value) OVER (PARTITION BY cube_id, pixel_id ORDER BY obs_date) AS prev FROM v)),
+n AS (SELECT *, count(*) OVER (PARTITION BY cube_id, pixel_id, run) AS len FROM c),
+f AS (SELECT obs_id, (CASE WHEN value < vmin OR value > vmax THEN 1 ELSE 0 END + CASE WHEN len >= 6 THEN 2 ELSE 0 END)::INTEGER AS fault FROM n)
+SELECT obs_id, fault FROM f WHERE fault > 0
+"""
+)
+
 P3_SQL = (
     "WITH "
     + META_SQL
@@ -123,8 +142,8 @@ SELECT cube_id, label, pixel, value FROM r QUALIFY row_number() OVER (PARTITION
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p3_found, p3_filled, p3_attributes, p4_found, p4_changes, p5_found, p5_compacted, p5_plan, p5_records)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p2_exact, p3_found, p3_filled, p3_attributes, p4_found, p4_changes, p5_found, p5_compacted, p5_plan, p5_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_records": P5_RECORDS_SQL}
+    return {"p1_found": P1_SQL, "p2_exact": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_records": P5_RECORDS_SQL}

@@ -780,6 +780,12 @@ def cube_filter(spark, d):
     return files.filter_cubes(table(spark, d, "cube_meta"), "mxd13a2", "vim").select("cube_id")
 
 
+@query("SELECT * FROM (VALUES ('CONSOLIDATION_RULE', 'VIM'), ('SOURCE', 'cube'), ('EMPTY', '')) t(key, value)")
+def metadata_options(spark, d):
+    text = spark.range(1).select(raster.metadata_options(F.lit("CONSOLIDATION_RULE=VIM&SOURCE=cube&EMPTY=")).alias("m"))
+    return text.select(F.explode("m").alias("key", "value"))
+
+
 @query("SELECT granule_id, list_element(string_split(path, '/'), -1) AS name, sha256(path) AS sha256 FROM granules")
 def cleanup_trace(spark, d):
     g = table(spark, d, "granules").select("granule_id", "path", F.col("path").cast("binary").alias("content"))
