@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoraster.functions.axis import date_label, target_days
+from chronoraster.functions.axis import date_label, from_julian, target_days
 from chronoraster.functions.session import join_small
 from chronoraster.operators import granules, raster
 from chronoraster.operators.cube import pixel_col, pixel_row
+from chronoraster.operators.regular import regular_grid
 from chronoraster.operators.smooth import COVERAGE, INTERPOLATION_PENALTY, ROWS, solve, stored
 from chronoraster.operators.standing import MAX_CUBES, PACK, SHIFT, complete_meta, is_missing, packed, standing
 
@@ -63,12 +64,14 @@ def smooth_cubes(
     start: date | None = None,
     nsmooth: int = 0,
     nupdate: int = 0,
+    is_standing: bool = False,
 ) -> DataFrame:
     """(cube_id, pixel_id, target_date, value, log10_s, smoothed) for all cubes at once.
 
     Each cube has its own axis: the dates of its readings, the last ``nsmooth``
     of them (0 for all).  Options as in ``operators.smooth.smooth``; resolution
-    and shift come from ``meta``.  Cubes with fewer than four dates, or fewer
+    and shift come from ``meta``.  ``is_standing``: (cube, pixel, date) is known
+    to be unique.  Cubes with fewer than four dates, or fewer
     than ``nsmooth``, give no rows.  ``sgrid`` is (cube_id, pixel_id, log10_s).
 
     One shuffle brings each pixel's readings together, packed as one number
@@ -81,7 +84,7 @@ def smooth_cubes(
     if not optimise and svalue is None and sgrid is None:
         raise ValueError("give svalue, optimise or sgrid")
     info = complete_meta(meta).select("cube_id", "codes", "t").join(meta.select("cube_id", "tshift"), "cube_id")
-    rows = standing(raw)
+    rows = raw if is_standing else standing(raw)
     axis = rows.groupBy("cube_id").agg(F.array_sort(F.collect_set(F.unix_date("obs_date"))).alias("full"))
     last = F.slice("full", F.when(F.lit(nsmooth) > 0, F.size("full") - nsmooth + 1).otherwise(F.lit(1)), F.size("full"))
     axis = axis.where(F.size("full") >= max(4, nsmooth)).select("cube_id", "full", last.alias("axis"))
@@ -158,6 +161,12 @@ def _axis_plan(b: pa.RecordBatch, step: int | None, start: date | None, nupdate:
     return days, days + shift - first, target - first, target, n_daily
 
 
+def composites(raw: DataFrame, meta: DataFrame) -> DataFrame:
+    """Irregular readings as a raw cube on its regular axis: (cube_id, pixel_id, obs_date, value), one per observed period."""
+    grid = regular_grid(raw, meta).where("status = 'observed'")
+    return grid.select("cube_id", "pixel_id", from_julian(F.col("period").cast("string")).alias("obs_date"), stored(F.col("value")).alias("value"))
+
+
 def update_sgrid(old: DataFrame | None, smooth: DataFrame) -> DataFrame:
     """Penalties after an optimising run: smoothed pixels get the new one, others keep theirs."""
     new = smooth.where("smoothed").groupBy("cube_id", "pixel_id").agg(F.max("log10_s").cast("float").alias("log10_s"))
