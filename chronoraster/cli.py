@@ -83,7 +83,6 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from chronoraster.functions.session import cut
     from chronoraster.functions.whittaker import penalty_range
     from chronoraster.operators import cube, raster
     from chronoraster.plans import pipelines
@@ -98,12 +97,8 @@ def main(argv: list[str] | None = None) -> None:
             old = read(a.out)
             if a.last_collected:
                 cube.require_last(old, a.last_collected)
-            fresh = new.select("cube_id", "obs_date").distinct()
-            pipelines.append_cube(old, new)  # raises if out of order
-            touched = old.join(F.broadcast(fresh.select("cube_id").distinct()), "cube_id", "left_semi").join(fresh, ["cube_id", "obs_date"], "left_anti")
-            # read from and written to the same folder, so materialised in between
-            new = cut(touched.unionByName(new.select(*old.columns)))
-        cube.replace_dates(new, a.out, "cube_id")
+            pipelines.require_order(old, new)
+        cube.replace_dates(new, a.out, "cube_id", "obs_date")
     elif a.command == "smooth":
         srange = penalty_range(*a.srange).tolist() if a.srange else None
         optimise = a.soptimize or srange is not None

@@ -123,14 +123,22 @@ def pixel_col(pixel: Column, cols: Column) -> Column:
     return F.pmod(pixel, cols)
 
 
+CUBE_SCHEMA = "pixel_id bigint, value smallint, cube_id string, obs_date date"
+
+
 def create_cube(spark: SparkSession, path: str) -> None:
-    """An empty raw cube table, partitioned by cube."""
-    spark.createDataFrame([], "pixel_id bigint, obs_date date, value smallint, cube_id string").write.partitionBy("cube_id").parquet(path)
+    """An empty raw cube table, partitioned by cube and date; raises if there is one."""
+    spark.createDataFrame([], CUBE_SCHEMA).write.partitionBy("cube_id", "obs_date").parquet(path)
+
+
+def read_cube(spark: SparkSession, path: str) -> DataFrame:
+    """A raw cube table, which may be empty."""
+    return spark.read.schema(CUBE_SCHEMA).parquet(path)
 
 
-def replace_dates(df: DataFrame, path: str, partition: str = "obs_date") -> None:
+def replace_dates(df: DataFrame, path: str, *partitions: str) -> None:
     """Write so that only the partitions present in ``df`` are replaced."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(partitions or ("obs_date",))).parquet(path)
 
 
 def octads(year: int) -> list[date]:

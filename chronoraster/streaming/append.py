@@ -8,51 +8,46 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoraster.operators.cube import last_date, upsert
+from chronoraster.operators.cube import replace_dates
 
 
 class StoredCube:
-    """A long table at ``path`` that micro-batches are upserted into.
+    """A long table at ``path``, partitioned by date, that micro-batches are upserted into.
 
-    Every version is a folder of its own and ``CURRENT`` names the committed
-    one, so that a batch that fails or is repeated leaves the table as it was.
+    A batch replaces the partitions of its own dates and touches no others, so
+    its cost does not grow with the table and a repeated batch leaves the same
+    rows.  Rows without a date are no readings.
     """
 
     def __init__(self, spark: SparkSession, path: str, date_col: str = "obs_date"):
         self.spark, self.path, self.date_col = spark, path.rstrip("/"), date_col
-        self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
-        root = self._jvm.org.apache.hadoop.fs.Path(self.path)
+    def dates(self) -> list[date]:
+        """The stored axis, from the partitions' names."""
+        root, head = self._path(self.path), f"{self.date_col}="
         if not self._fs.exists(root):
             return []
-        out = []
-        for s in self._fs.listStatus(root):
-            name = s.getPath().getName()
-            if name.startswith("v") and self._fs.exists(self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")):
-                out.append(int(name[1:]))
-        return sorted(out)
+        names = (s.getPath().getName() for s in self._fs.listStatus(root))
+        return sorted(date.fromisoformat(n.removeprefix(head)) for n in names if n.startswith(head))
 
     def read(self) -> DataFrame | None:
-        v = self._versions()
-        return self.spark.read.parquet(f"{self.path}/v{v[-1]}") if v else None
+        return self.spark.read.parquet(self.path) if self.dates() else None
 
     def last(self) -> date | None:
-        now = self.read()
-        return None if now is None else last_date(now, self.date_col)
+        return max(self.dates(), default=None)
 
-    def append(self, batch: DataFrame, batch_id: int) -> None:
-        """Upsert one batch. A batch id that is committed already is skipped; out-of-order dates raise."""
-        v = self._versions()
-        if v and v[-1] >= batch_id + 1:
+    def append(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """Upsert one batch. ValueError if a stored date that it does not replace is not before all of its dates."""
+        batch = batch.where(F.col(self.date_col).isNotNull())
+        new = {r[0] for r in batch.select(self.date_col).distinct().collect()}  # one per day
+        if not new:
             return
-        now = self.read()
-        if now is None:
-            out = batch
-        else:
-            out = upsert(now, batch.select(*now.columns), self.date_col)
-        out.write.mode("overwrite").parquet(f"{self.path}/v{batch_id + 1}")
+        kept = [d for d in self.dates() if d not in new]
+        if kept and max(kept) >= min(new):
+            raise ValueError(f"batch {batch_id}: stored date {max(kept)} does not precede the new date {min(new)}")
+        replace_dates(batch, self.path, self.date_col)
 
 
 def append_stream(stream: DataFrame, store: StoredCube, checkpoint: str, expected_last: date | None = None, then: Callable[[DataFrame, int], None] | None = None):

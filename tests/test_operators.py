@@ -90,6 +90,17 @@ def test_upsert(spark):
     assert cube.upsert(t([1], 0), t([1], 0).limit(0)).count() == 1
 
 
+def test_empty_cube_and_replaced_dates(spark, tmp_path):
+    p = str(tmp_path / "cube")
+    cube.create_cube(spark, p)
+    assert cube.read_cube(spark, p).count() == 0
+    t = lambda ds, v: spark.createDataFrame([(1, v, "V/P.h01v01.6.V", dt.date(2020, 1, d)) for d in ds], cube.CUBE_SCHEMA)
+    cube.replace_dates(t([1, 2], 0), p, "cube_id", "obs_date")
+    cube.replace_dates(t([2, 3], 1), p, "cube_id", "obs_date")
+    assert sorted((r.cube_id, r.obs_date.day, r.value) for r in cube.read_cube(spark, p).collect()) == [("V/P.h01v01.6.V", d, v) for d, v in ((1, 0), (2, 1), (3, 1))]
+    assert cube.octads(2020)[-1] == dt.date(2020, 12, 26) and len(cube.octads(2019)) == 46
+
+
 def test_tail_and_contiguity(spark):
     t = spark.createDataFrame([(dt.date(2020, 1, d), d) for d in (1, 3, 5, 7)], "obs_date date, v int")
     assert sorted(r.v for r in cube.tail(t, "obs_date", 2).collect()) == [5, 7] and cube.tail(t, "obs_date", 0).count() == 4
@@ -212,7 +223,9 @@ def test_streaming_appends_in_order(spark, tmp_path):
     push([1, 2], 0)
     push([2, 3], 1)
     assert sorted((r.obs_date.day, r.v) for r in store.read().collect()) == [(1, 0), (2, 1), (3, 1)]
-    store.append(store.read(), 0)  # a batch that was committed already
+    store.append(store.read())  # a batch that was written already
+    store.append(store.read().where("v = 9"))  # an empty one
+    assert store.dates() == [dt.date(2020, 1, d) for d in (1, 2, 3)] and store.read().count() == 3
     assert store.last() == dt.date(2020, 1, 3)
     with pytest.raises(Exception):  # noqa: B017
         push([2], 2)
