@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from chronoraster.functions.session import cut
 
+SLICE = 1000  # texts that are Python strings at a time
+
 
 def normalize_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", with_form: bool = True) -> DataFrame:
     """(key, form, form_key, text_key, visible, n_mixed, n_whole) for each row; no shuffle.
@@ -26,22 +28,23 @@ def normalize_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", wit
 
         from chronoraster.llm.lookalike import consistent_form, mixed_tokens
 
-        for b in batches:
-            forms, form_keys, text_keys, visible, mixed, whole = [], [], [], [], [], []
-            for t in b.column("t").to_pylist():
-                f = consistent_form(t)
-                seen = bool(f) and not f.isspace()
-                m, w = mixed_tokens(t) if with_form else (None, None)
-                forms.append(f if with_form else None)
-                form_keys.append(None if f is None else md5(f.encode()).digest())
-                text_keys.append(None if t is None else md5(t.encode()).digest())
-                visible.append(seen)
-                mixed.append(m)
-                whole.append(w)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("k"), pa.array(forms, pa.string()), pa.array(form_keys, pa.binary()), pa.array(text_keys, pa.binary()), pa.array(visible, pa.bool_()), pa.array(mixed, pa.int32()), pa.array(whole, pa.int32())],
-                names=["k", "form", "form_key", "text_key", "visible", "n_mixed", "n_whole"],
-            )
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                b = whole.slice(i, SLICE)
+                forms, form_keys, text_keys, visible, mixed, whole_words = [], [], [], [], [], []
+                for t in b.column("t").to_pylist():
+                    f = consistent_form(t)
+                    m, w = mixed_tokens(t) if with_form else (None, None)
+                    forms.append(f if with_form else None)
+                    form_keys.append(None if f is None else md5(f.encode()).digest())
+                    text_keys.append(None if t is None else md5(t.encode()).digest())
+                    visible.append(bool(f) and not f.isspace())
+                    mixed.append(m)
+                    whole_words.append(w)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("k"), pa.array(forms, pa.string()), pa.array(form_keys, pa.binary()), pa.array(text_keys, pa.binary()), pa.array(visible, pa.bool_()), pa.array(mixed, pa.int32()), pa.array(whole_words, pa.int32())],
+                    names=["k", "form", "form_key", "text_key", "visible", "n_mixed", "n_whole"],
+                )
 
     kind = src.schema["k"].dataType.simpleString()
     out = src.mapInArrow(run, f"k {kind}, form string, form_key binary, text_key binary, visible boolean, n_mixed int, n_whole int")

@@ -37,9 +37,9 @@ CYRILLIC_TWINS = (
     "аa сc ԁd еe һh іi јj оo рp ԛq ѕs ѵv ԝw хx уy ӏl"
 )
 GREEK_TWINS = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo νv ρp αa ϲc ϳj ϱp"
-ARMENIAN_TWINS = "ՍU ՏS Օ0 օo սu հh ցg ոn յj զq".replace("Օ0", "ՕO")
+ARMENIAN_TWINS = "ՍU ՏS ՕO օo սu հh ցg ոn յj զq"
 CHEROKEE_TWINS = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᏆI ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ"
-LATIN_TWINS = "ɑa ɡg ɩi ıı"  # Latin letters drawn like another Latin letter; dotless i stays itself
+LATIN_TWINS = "ɑa ɡg ɩi"  # Latin letters drawn like another Latin letter
 HYPHENS = "‐‑‒–−⁃˗﹘﹣－"
 # Invisible although not of category Cf: joiners, fillers, variation selectors.
 INVISIBLE_EXTRA = "͏ᅟᅠ឴឵ㅤﾠ"
