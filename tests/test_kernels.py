@@ -136,3 +136,19 @@ def test_kprototypes_finds_the_groups_and_ignores_unobserved():
     assert p.assign(np.array([[np.nan]]), np.array([["b"]], object))[0] == at[50]
     assert p.assign(np.array([[5.0]]), np.array([[None]], object))[0] == at[50]
     prototypes.fit(np.zeros((0, 1)), np.zeros((0, 1), object), np.zeros(0), 2, np.array([1.0]))
+
+
+def test_spikes_put_into_seasonal_series_are_found():
+    rng = np.random.default_rng(11)
+    rows, n = 300, 70
+    day = np.cumsum(rng.integers(4, 13, (rows, n)), axis=1).astype(float)
+    x = 5000 + rng.uniform(200, 1500, (rows, 1)) * np.sin(day / 58) + rng.normal(0, 80, (rows, n))
+    truth = np.zeros(x.shape, bool)
+    for r in range(rows):
+        i, m = rng.integers(4, n - 5), rng.integers(1, 3)
+        x[r, i : i + m] += rng.choice([-1, 1]) * rng.uniform(10, 20) * 80
+        truth[r, i : i + m] = True
+    none = np.full(rows, np.nan)
+    got = (spikekernel.flag(np.rint(x), day, none, none) & spikekernel.SPIKE) > 0
+    recall, precision = (got & truth).sum() / truth.sum(), (got & truth).sum() / got.sum()
+    assert recall > 0.93 and precision > 0.96, (recall, precision)
