@@ -17,6 +17,10 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     return regular.regular_grid(table(spark, d, "raw"), table(spark, d, "cube_meta"))
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p1_grid(spark, d).select("cube_id", "pixel_id", "period", F.col("n_readings").cast("bigint").alias("n_readings"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_flags(spark, d).where("fault > 0").select("obs_id")
 
@@ -94,6 +98,13 @@ WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.cube_id = e.cube_id AND p.pixel_id = e
 """
 )
 
+P1_COUNTS_SQL = P1_SQL.split("SELECT e.cube_id")[0] + """
+SELECT e.cube_id, e.pixel_id, (year(day) * 1000 + dayofyear(day))::BIGINT AS period, count(p.start) AS n_readings
+FROM e JOIN starts ON starts.t = e.t AND day BETWEEN lo AND hi
+LEFT JOIN p ON p.cube_id = e.cube_id AND p.pixel_id = e.pixel_id AND p.start = starts.day
+GROUP BY ALL
+"""
+
 P2_SQL = (
     "WITH "
     + META_SQL
@@ -128,6 +139,8 @@ SELECT cur.cube_id, cur.label FROM cur LEFT JOIN used ON cur.cube_id = used.cube
 WHERE used.granule_id IS NULL OR used.cksum IS DISTINCT FROM cur.cksum
 """
 
+P4_CHANGES_SQL = P4_SQL.replace("SELECT cur.cube_id, cur.label FROM", "SELECT cur.cube_id, cur.label, CASE WHEN used.granule_id IS NULL THEN 'added' ELSE 'replaced' END AS change, cur.granule_id FROM")
+
 P5_SQL = """
 WITH r AS (SELECT file_id, cube_id, rtrim(label) AS label, written_at, first_pixel + unnest(range(len(vals))) AS pixel FROM chunk_files WHERE len(vals) > 0),
 k AS (SELECT file_id FROM r QUALIFY row_number() OVER (PARTITION BY cube_id, label, pixel ORDER BY written_at DESC NULLS LAST, file_id DESC) = 1)
@@ -142,8 +155,8 @@ SELECT cube_id, label, pixel, value FROM r QUALIFY row_number() OVER (PARTITION
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_flags, p2_exact, p3_found, p3_filled, p3_attributes, p4_found, p4_changes, p5_found, p5_compacted, p5_plan, p5_records)}
+    return {f.__name__: f for f in (p1_found, p1_grid, p1_counts, p2_found, p2_flags, p2_exact, p3_found, p3_filled, p3_attributes, p4_found, p4_changes, p5_found, p5_compacted, p5_plan, p5_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p2_exact": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_records": P5_RECORDS_SQL}
+    return {"p1_found": P1_SQL, "p1_counts": P1_COUNTS_SQL, "p2_exact": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_changes": P4_CHANGES_SQL, "p5_found": P5_SQL, "p5_records": P5_RECORDS_SQL}
