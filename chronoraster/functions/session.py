@@ -52,6 +52,12 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", bound: i
     return big.join(small, on, how)
 
 
+def settled(df: DataFrame, bound: int) -> DataFrame:
+    """``df`` computed once, for use in several joins: fetched when it has at most ``bound`` rows, else written."""
+    rows = df.limit(bound + 1).toArrow()
+    return df.sparkSession.createDataFrame(rows, schema=df.schema) if rows.num_rows <= bound else written(df, "settled")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write once as Parquet in the shared checkpoint folder and read back.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoraster.functions.axis import date_label, from_julian, target_days
-from chronoraster.functions.session import join_small
+from chronoraster.functions.session import join_small, settled
 from chronoraster.operators import granules, raster
 from chronoraster.operators.cube import pixel_col, pixel_row
 from chronoraster.operators.regular import regular_grid
@@ -91,7 +91,7 @@ def smooth_cubes(
     axis = rows.groupBy("cube_id").agg(F.array_sort(F.collect_set(F.unix_date("obs_date"))).alias("full"))
     last = F.slice("full", F.when(F.lit(nsmooth) > 0, F.size("full") - nsmooth + 1).otherwise(F.lit(1)), F.size("full"))
     axis = axis.where(F.size("full") >= max(4, nsmooth)).select("cube_id", "full", last.alias("axis"))
-    axis = axis.join(info, "cube_id")
+    axis = settled(axis.join(info, "cube_id"), MAX_CUBES)
     rows = join_small(rows, axis.select("cube_id", "codes", F.element_at("axis", 1).alias("first")), "cube_id", "inner", MAX_CUBES)
     rows = rows.where((F.unix_date("obs_date") >= F.col("first")))
     value = F.when(~is_missing(F.col("value"), F.col("codes")), F.col("value"))
