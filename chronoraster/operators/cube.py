@@ -141,6 +141,34 @@ def replace_dates(df: DataFrame, path: str, *partitions: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*(partitions or ("obs_date",))).parquet(path)
 
 
+def partition_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the first level of partition folders of a table; none if it is not there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [n for s in fs.listStatus(folder) if "=" in (n := s.getPath().getName())] if fs.exists(folder) else []
+
+
+SMOOTH_PARTITIONS = ("cube_id", "target_date")
+
+
+def with_kept_pixels(new: DataFrame, path: str) -> DataFrame:
+    """Whole (cube, date) partitions of a smooth table: the rows of ``new`` and the stored ones of pixels that it lacks.
+
+    ValueError if the table at ``path`` is not partitioned by cube and date.
+    ``new`` is read several times.
+    """
+    spark = new.sparkSession
+    there = partition_folders(spark, path)
+    if any(not n.startswith("cube_id=") for n in there):
+        raise ValueError(f"{path} is not partitioned by cube_id and target_date; write it anew")
+    if not there:
+        return new
+    old = spark.read.schema(new.schema).parquet(path)
+    old = old.join(new.select(*SMOOTH_PARTITIONS).distinct(), list(SMOOTH_PARTITIONS), "left_semi")
+    kept = old.join(new.select("pixel_id", *SMOOTH_PARTITIONS), ["pixel_id", *SMOOTH_PARTITIONS], "left_anti")
+    return new.unionByName(kept.select(*new.columns))
+
+
 def octads(year: int) -> list[date]:
     first = date(year, 1, 1)
     return [d for i in range(0, 366, 8) if (d := first + timedelta(i)).year == year]

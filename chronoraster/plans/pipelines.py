@@ -149,6 +149,20 @@ def smooth_cubes(
     return out.select("cube_id", "pixel_id", F.date_from_unix_date("day").alias("target_date"), stored(F.col("z")).alias("value"), "log10_s", "smoothed")
 
 
+def require_steps(raw: DataFrame, nsmooth: int) -> None:
+    """ValueError if a cube has fewer than ``nsmooth`` dates."""
+    known = raw.dropna(subset=["cube_id", "pixel_id", "obs_date"])
+    short = known.groupBy("cube_id").agg(F.countDistinct("obs_date").alias("n")).where(F.col("n") < nsmooth)
+    bad = short.orderBy("cube_id").take(10)
+    if bad:
+        raise ValueError(f"{nsmooth} steps wanted; too few in " + ", ".join(f"{r['cube_id']} ({r['n']})" for r in bad))
+
+
+def without_rows(raw: DataFrame, smooth: DataFrame) -> DataFrame:
+    """(cube_id): raw cubes that a run gave no rows for: under four dates, or no metadata."""
+    return raw.select("cube_id").dropna().distinct().join(smooth.select("cube_id").distinct(), "cube_id", "left_anti")
+
+
 def _axis_plan(b: pa.RecordBatch, step: int | None, start: date | None, nupdate: int):
     """(days, their places on the daily axis, target places, target days, length) of one cube."""
     days = np.array(b.column("axis")[0].as_py())

@@ -106,3 +106,32 @@ def test_command_line(spark, tmp_path):
     cli.main(["check-dates", p("raw"), "2003001", "2003100"])
     cli.main(["compact", p("full"), p("joined")])
     assert spark.read.parquet(p("joined")).count() == 48
+
+
+def smooth_tables(spark, tmp_path, rows, name="raw"):
+    """Paths of raw rows (cube, pixel, step of 16 days, value) and of metadata for cubes A and B."""
+    B = A.replace("h01v01", "h02v01")
+    raw(spark, [(c, p, D0 + dt.timedelta(16 * i), v) for c, p, i, v in rows]).write.mode("overwrite").parquet(str(tmp_path / name))
+    spark.createDataFrame([(c, 2, 2, None, "P", [1.0, -1.0], -3000.0, 8, 8, False, "VIM", -2000.0, 1050.0) for c in (A, B)], META).write.mode("overwrite").parquet(str(tmp_path / "meta"))
+    return B, str(tmp_path / name), str(tmp_path / "meta"), str(tmp_path / "smooth")
+
+
+def test_smoothing_some_cubes_keeps_the_others(spark, tmp_path):
+    B = A.replace("h01v01", "h02v01")
+    rows = [(c, p, i, 100 * p + i) for c in (A, B) for p in (0, 1) for i in range(6)]
+    _, r, m, out = smooth_tables(spark, tmp_path, rows)
+    cli.main(["smooth", r, m, out, "--svalue", "1"])
+    stored = lambda: {(x.cube_id, x.pixel_id, x.target_date): x.value for x in spark.read.parquet(out).collect()}
+    first = stored()
+    assert len(first) == 24
+    # only cube A, and of it only pixel 0 with other values
+    _, r, _, _ = smooth_tables(spark, tmp_path, [(A, 0, i, 500 + i) for i in range(6)], "part")
+    cli.main(["smooth", r, m, out, "--svalue", "1"])
+    second = stored()
+    assert second.keys() == first.keys()
+    assert {k for k in first if first[k] != second[k]} == {k for k in first if k[:2] == (A, 0)}
+    # a cube shorter than nsmooth is an error, and nothing is written
+    _, r, _, _ = smooth_tables(spark, tmp_path, [(A, 0, i, 9) for i in range(6)] + [(B, 0, i, 9) for i in range(5)], "short")
+    with pytest.raises(ValueError, match=r"h02v01.*\(5\)"):
+        cli.main(["smooth", r, m, out, "--svalue", "1", "--nsmooth", "6"])
+    assert stored() == second
