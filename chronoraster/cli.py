@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--nsmooth", type=int, default=0)
     s.add_argument("--nupdate", type=int, default=0)
     s.add_argument("--run-log")
+    s.add_argument("--granules", help="smooth only cubes with pending dates of this table")
     w = add("window", "cubes to rasters")
     w.add_argument("cubes")
     w.add_argument("meta")
@@ -83,7 +84,6 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from chronoraster.functions.session import written
     from chronoraster.functions.whittaker import penalty_range
     from chronoraster.operators import cube, raster
     from chronoraster.plans import pipelines
@@ -103,17 +103,11 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "smooth":
         srange = penalty_range(*a.srange).tolist() if a.srange else None
         optimise = a.soptimize or srange is not None
-        raw = read(a.raw)
-        if a.nsmooth:
-            pipelines.require_steps(raw, a.nsmooth)
-        out = pipelines.smooth_cubes(raw, read(a.meta), a.svalue, a.pvalue, optimise, srange, read(a.sgrid) if a.sgrid else None, a.tempint, a.tempint_start, a.nsmooth, a.nupdate)
-        out = written(out, "smooth")
-        cube.replace_dates(cube.with_kept_pixels(out, a.out), a.out, *cube.SMOOTH_PARTITIONS)
-        for r in pipelines.without_rows(raw, out).orderBy("cube_id").toLocalIterator():
-            print(f"{r['cube_id']}: not smoothed, fewer than four dates or no metadata")
-        if a.run_log:
-            text = cube.run_description(None if a.svalue is None else F.lit(a.svalue), None if a.pvalue is None else F.lit(a.pvalue), optimise)
-            pipelines.log_run(spark, a.run_log, read(a.raw), spark.range(1).select(text).first()[0], a.pvalue)
+        if a.granules and not a.run_log:
+            raise ValueError("pending granules need a run log")
+        text = cube.run_description(None if a.svalue is None else F.lit(a.svalue), None if a.pvalue is None else F.lit(a.pvalue), optimise)
+        options = {"svalue": a.svalue, "p": a.pvalue, "optimise": optimise, "srange": srange, "sgrid": read(a.sgrid) if a.sgrid else None, "step": a.tempint, "start": a.tempint_start, "nsmooth": a.nsmooth, "nupdate": a.nupdate}
+        pipelines.smooth_run(spark, a.raw, read(a.meta), a.out, spark.range(1).select(text).first()[0], a.run_log, a.granules, **options)
     elif a.command == "window":
         cubes = files.filter_cubes(read(a.cubes), a.product, a.code)
         if a.last_smoothed:

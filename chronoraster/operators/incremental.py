@@ -140,24 +140,43 @@ class CommitLog:
         done = self.commits()
         return done[-1]["version"] if done else None
 
-    def write(self, df: DataFrame, version) -> bool:
-        """Write and commit; False (and nothing visible) if ``version`` is committed already."""
+    def write(self, df: DataFrame, version, manifest: DataFrame | None = None, base: int | None = None, **more) -> bool:
+        """Write and commit; False (and nothing visible) if ``version`` is committed already.
+
+        ``manifest`` (what the run has used) is written beside the data and named
+        by the same commit, as are the values of ``more``.  ``base`` is the number
+        of commits that ``df`` was made from; any other number is an error.
+        """
         done = self.commits()
         if any(c["version"] == version for c in done):
             return False
         n = len(done)
-        data = f"{self.path}/data-{n:08d}-{self._jvm.java.util.UUID.randomUUID()}"
+        if base is not None and n != base:
+            raise RuntimeError("another run has committed meanwhile")
+        name = f"{n:08d}-{self._jvm.java.util.UUID.randomUUID()}"
+        data = f"{self.path}/data-{name}"
         df.write.parquet(data)
+        if manifest is not None:
+            manifest.write.parquet(f"{self.path}/manifest-{name}")
+            more["manifest"] = f"manifest-{name}"
         self._fs.mkdirs(self._path(f"{self.path}/_commits"))
         temp, final = self._path(f"{data}.json"), self._path(f"{self.path}/_commits/{n:08d}.json")
         out = self._fs.create(temp, False)
-        out.write(bytearray(json.dumps({"version": version, "data": data.rsplit("/", 1)[1]}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "data": data.rsplit("/", 1)[1]} | more).encode()))
         out.close()
         if self._fs.exists(final) or not self._fs.rename(temp, final):
             self._fs.delete(temp, False)
             raise RuntimeError("another run has committed meanwhile")
         return True
 
+    def unpublished(self) -> list[tuple[int, dict]]:
+        """Numbered commits that ``mark_published`` was not called for, oldest first."""
+        there = lambda n: self._fs.exists(self._path(f"{self.path}/_published/{n:08d}"))
+        return [(n, c) for n, c in enumerate(self.commits()) if not there(n)]
+
+    def mark_published(self, n: int) -> None:
+        self._fs.create(self._path(f"{self.path}/_published/{n:08d}"), True).close()
+
     def read(self) -> DataFrame | None:
         done = self.commits()
         return self.spark.read.parquet(*[f"{self.path}/{c['data']}" for c in done]) if done else None

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta, timezone
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoraster.functions.axis import date_label, from_julian, target_days
-from chronoraster.functions.session import join_small, settled
-from chronoraster.operators import granules, raster
+from chronoraster.functions.session import join_small, settled, written
+from chronoraster.operators import cube, granules, incremental, raster
 from chronoraster.operators.cube import pixel_col, pixel_row
 from chronoraster.operators.regular import regular_grid
 from chronoraster.operators.smooth import COVERAGE, INTERPOLATION_PENALTY, ROWS, solve, stored
@@ -193,10 +194,68 @@ def update_sgrid(old: DataFrame | None, smooth: DataFrame) -> DataFrame:
     return both.select("cube_id", "pixel_id", F.coalesce("log10_s", "old_s").cast("float").alias("log10_s"))
 
 
-def log_run(spark: SparkSession, path: str, raw: DataFrame, lastrun: str, p: float | None) -> None:
-    """Append one row per cube to the run log: description, p value, time and the raw dates used."""
-    rows = raw.groupBy("cube_id").agg(F.array_sort(F.collect_set(F.date_format("obs_date", "yyyyDDD"))).alias("rawdates"))
-    rows.select("cube_id", F.lit(lastrun).alias("lastrun"), F.lit(p).cast("double").alias("pvalue"), F.current_timestamp().alias("processed_at"), F.lit("ok").alias("status"), "rawdates").write.mode("append").parquet(path)
+RUN_SCHEMA = "run_id bigint, cube_id string, lastrun string, pvalue double, processed_at timestamp, status string, rawdates array<string>"
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The run log; empty if there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(RUN_SCHEMA).parquet(path) if there else spark.createDataFrame([], RUN_SCHEMA)
+
+
+def run_rows(raw: DataFrame, smooth: DataFrame, lastrun: str, p: float | None, processed_at: datetime) -> DataFrame:
+    """One run log row for each cube with rows in ``smooth``: description, p value, time and the dates in ``raw``."""
+    used = raw.dropna(subset=["cube_id", "pixel_id", "obs_date"]).join(smooth.select("cube_id").distinct(), "cube_id", "left_semi")
+    rows = used.groupBy("cube_id").agg(F.array_sort(F.collect_set(F.date_format("obs_date", "yyyyDDD"))).alias("rawdates"))
+    run = F.xxhash64(F.lit(uuid4().hex), "cube_id").alias("run_id")
+    return rows.select(run, "cube_id", F.lit(lastrun).alias("lastrun"), F.lit(p).cast("double").alias("pvalue"), F.lit(processed_at).alias("processed_at"), F.lit("ok").alias("status"), "rawdates")
+
+
+def publish(log: incremental.CommitLog, out: str) -> None:
+    """Bring committed runs that are not there yet into the smooth table and their run log, in order.
+
+    Each commit holds whole partitions and its rows' run_id, so that a failed
+    attempt is made good by another one.
+    """
+    spark = log.spark
+    for n, c in log.unpublished():
+        cube.replace_dates(spark.read.parquet(f"{log.path}/{c['data']}"), out, *cube.SMOOTH_PARTITIONS)
+        if c["run_log"]:
+            rows = spark.read.schema(RUN_SCHEMA).parquet(f"{log.path}/{c['manifest']}")
+            rows.join(read_run_log(spark, c["run_log"]).select("run_id"), "run_id", "left_anti").select(*rows.columns).write.mode("append").parquet(c["run_log"])
+        log.mark_published(n)
+
+
+def smooth_run(spark: SparkSession, raw_path: str, meta: DataFrame, out: str, lastrun: str, run_log: str | None = None, granules_path: str | None = None, **options) -> None:
+    """Smooth raw cubes into the table ``out`` as one commit of rows and run log.
+
+    The time of the run is taken before the raw files are listed, once, and both
+    the rows and the logged dates come from that listing: what is collected later
+    has a later ``collected_at`` and stays pending.  ``collected_at`` has to be
+    taken when a granule's rows are in the raw table.  With ``granules_path``
+    only cubes with pending dates are smoothed, whole.  A run that failed after
+    its commit in ``out/_runs`` is published first.
+    """
+    log = incremental.CommitLog(spark, f"{out}/_runs")
+    publish(log, out)
+    base = len(log.commits())
+    started = datetime.now(timezone.utc)
+    raw = spark.read.parquet(raw_path)
+    if granules_path:
+        todo = incremental.pending(spark.read.parquet(granules_path), read_run_log(spark, run_log))
+        todo = settled(todo.select("cube_id").distinct(), MAX_CUBES)
+        if not todo.take(1):
+            print("nothing is pending")
+            return
+        raw = raw.join(todo, "cube_id", "left_semi")
+    if options.get("nsmooth"):
+        require_steps(raw, options["nsmooth"])
+    rows = written(smooth_cubes(raw, meta, **options), "smooth")
+    log.write(cube.with_kept_pixels(rows, out), started.isoformat(), run_rows(raw, rows, lastrun, options.get("p"), started), base, run_log=run_log)
+    publish(log, out)
+    for r in without_rows(raw, rows).orderBy("cube_id").toLocalIterator():
+        print(f"{r['cube_id']}: not smoothed, fewer than four dates or no metadata")
 
 
 def export(smooth: DataFrame, meta: DataFrame, step: int | None, start: date | None = None, end: date | None = None, clip: bool = True, rounding: int = 0, prefix: str = "") -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from chronoraster import cli
 from chronoraster.functions.register import register
 from chronoraster.functions.whittaker import ws2d
+from chronoraster.operators import incremental
 from chronoraster.plans import pipelines
-from tests.test_problems import META, A, meta, raw
+from tests.test_problems import META, A, G, meta, raw
 
 D0 = dt.date(2020, 1, 1)
 
@@ -135,3 +136,40 @@ def test_smoothing_some_cubes_keeps_the_others(spark, tmp_path):
     with pytest.raises(ValueError, match=r"h02v01.*\(5\)"):
         cli.main(["smooth", r, m, out, "--svalue", "1", "--nsmooth", "6"])
     assert stored() == second
+
+
+def test_runs_log_what_they_read_and_commit_it_with_the_rows(spark, tmp_path, monkeypatch):
+    rows = [(c, 0, i, 100 + i) for c in (A, A.replace("h01v01", "h02v01")) for i in range(6)]
+    B, r, m, out = smooth_tables(spark, tmp_path, rows)
+    runs = str(tmp_path / "runs")
+    args = ["smooth", r, m, out, "--svalue", "1", "--run-log", runs]
+    real, times = pipelines.smooth_cubes, []
+
+    def collect_meanwhile(*a, **k):
+        times.append(dt.datetime.now(dt.timezone.utc))
+        raw(spark, [(A, 0, D0 + dt.timedelta(96), 7)]).write.mode("append").parquet(r)
+        return real(*a, **k)
+
+    monkeypatch.setattr(pipelines, "smooth_cubes", collect_meanwhile)
+    # the run fails between its output and its log
+    monkeypatch.setattr(pipelines.cube, "replace_dates", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        cli.main(args)
+    monkeypatch.undo()
+    granule = lambda c, i, t: (i, f"X.A{(D0 + dt.timedelta(16 * i)).strftime('%Y%j')}.h.hdf", D0 + dt.timedelta(16 * i), 1, c, i, t)
+    early, late = dt.datetime(2020, 1, 1), times[0]
+    g = [granule(c, i, early) for c in (A, B) for i in range(6)] + [granule(A, 6, late)]
+    spark.createDataFrame(g, G).write.parquet(str(tmp_path / "granules"))
+    left = lambda: [(x.cube_id, x.label) for x in incremental.pending(spark.read.parquet(str(tmp_path / "granules")), pipelines.read_run_log(spark, runs)).collect()]
+    log = incremental.CommitLog(spark, out + "/_runs")
+    pipelines.publish(log, out)
+    assert left() == [(A, "2020097")]
+    log._fs.delete(log._path(log.path + "/_published"), True)  # it failed before it was marked
+    pipelines.publish(log, out)
+    assert spark.read.parquet(out).count() == 12 and pipelines.read_run_log(spark, runs).count() == 2
+    # only the pending cube is smoothed
+    cli.main([*args, "--granules", str(tmp_path / "granules")])
+    assert left() == [] and spark.read.parquet(out).count() == 13
+    assert sorted(x.cube_id for x in pipelines.read_run_log(spark, runs).collect()) == [A, A, B]
+    cli.main([*args, "--granules", str(tmp_path / "granules")])
+    assert len(log.commits()) == 2
