@@ -105,6 +105,12 @@ def fill_tile(spark: SparkSession, raster: DataFrame, rows: int, cols: int, valu
     return full.join(raster.select("row", "col", value), ["row", "col"], "left")
 
 
+def tile_size(raster: DataFrame, rows: int, cols: int) -> tuple[int, int]:
+    """(rows, columns) of the smallest raster of whole ``rows`` x ``cols`` tiles from (0, 0) that holds all pixels; (0, 0) for an empty one."""
+    m = raster.agg(F.max("row").alias("row"), F.max("col").alias("col")).first()
+    return (0, 0) if m["row"] is None else ((m["row"] // rows + 1) * rows, (m["col"] // cols + 1) * cols)
+
+
 def sgrid_window(sgrid: DataFrame, grid_gt: tuple[float, ...], cube_gt: tuple[float, ...], rows: int, cols: int, grid_rows: int, grid_cols: int, value: str = "log10_s") -> DataFrame:
     """(row, col, value) of a cube, cut out of a larger penalty raster of the same pixel size."""
     if abs(grid_gt[1] - cube_gt[1]) > 1e-6 or abs(grid_gt[5] - cube_gt[5]) > 1e-6:

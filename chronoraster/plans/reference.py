@@ -664,9 +664,24 @@ def output_resolution(spark, d):
 
 @query("SELECT row, col, CASE WHEN vec_id IS NOT NULL THEN round_even(10000::DOUBLE * embedding[col + 1]::DOUBLE, 0)::BIGINT END AS value FROM (SELECT (t.id // 64)::INTEGER AS row, (t.id % 64)::INTEGER AS col FROM range(38400) t(id)) f LEFT JOIN (SELECT * FROM embeddings WHERE vec_id < 300) e ON e.vec_id = f.row")
 def fill_tile(spark, d):
+    """One tile of 600 x 64 over the first 300 rows, as its SQL fixes it; ``fill_raster`` is the whole raster."""
     return raster.fill_tile(spark, r_raster(spark, d).where("row < 300"), 600, 64)
 
 
+@query(
+    with_sql(
+        R_SQL,
+        "n AS (SELECT (max(row) // 600 + 1) * 600 AS h, (max(col) // 64 + 1) * 64 AS w FROM rr)",
+        "f AS (SELECT (id // w)::INTEGER AS row, (id % w)::INTEGER AS col FROM (SELECT w, unnest(range(h * w)) AS id FROM n))",
+        "SELECT f.row, f.col, rr.value FROM f LEFT JOIN rr ON rr.row = f.row AND rr.col = f.col",
+    )
+)
+def fill_raster(spark, d):
+    """Every pixel of the whole tiles of 600 x 64 that the raster reaches; null where it has none."""
+    r = r_raster(spark, d)
+    return raster.fill_tile(spark, r, *raster.tile_size(r, 600, 64))
+
+
 # ---- sources, sinks, runs
 
 

@@ -300,3 +300,15 @@ def test_search_response_and_sidecar(spark):
     x = spark.createDataFrame([("<a><FileSize>7526571</FileSize><ChecksumType>CKSUM</ChecksumType><Checksum>1534015008</Checksum></a>",)], "xml string")
     s = files.parse_sidecars(x).first()
     assert (s.file_size, s.checksum_type, s.checksum, s.file_name) == (7526571, "CKSUM", "1534015008", None)
+
+
+def test_whole_raster_is_filled(spark, tmp_path):
+    from chronoraster.plans import catalogue
+
+    rows = [(i, [float(i), 0.5, -1.0]) for i in (0, 299, 300, 701)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {(r.row, r.col): r.value for r in catalogue.queries()["fill_raster"](spark, str(tmp_path)).collect()}
+    assert out.keys() == {(r, c) for r in range(1200) for c in range(64)}
+    assert {k: v for k, v in out.items() if v is not None} == {(i, c): round(10000 * v) for i, e in rows for c, v in enumerate(e)}
+    empty = spark.createDataFrame([], "row bigint, col bigint, value bigint")
+    assert raster.tile_size(empty, 600, 64) == (0, 0) and raster.fill_tile(spark, empty, 0, 64).count() == 0
