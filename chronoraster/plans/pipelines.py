@@ -69,11 +69,14 @@ def smooth_cubes(
     nsmooth: int = 0,
     nupdate: int = 0,
     is_standing: bool = False,
+    regular: bool = False,
 ) -> DataFrame:
     """(cube_id, pixel_id, target_date, value, log10_s, smoothed) for all cubes at once.
 
-    Each cube has its own axis: the dates of its readings, the last ``nsmooth``
-    of them (0 for all).  Options as in ``operators.smooth.smooth``; resolution
+    Each cube has its own axis: the dates of its readings, or with ``regular``
+    all periods from its first to its last one (dates are periods' first days);
+    the last ``nsmooth`` of them (0 for all).  Every pixel of the cube is joined
+    to it, with weight 0 where nothing was observed.  Options as in ``operators.smooth.smooth``; resolution
     and shift come from ``meta``.  ``is_standing``: (cube, pixel, date) is known
     to be unique.  Cubes with fewer than four dates, or fewer
     than ``nsmooth``, give no rows.  ``sgrid`` is (cube_id, pixel_id, log10_s).
@@ -89,14 +92,18 @@ def smooth_cubes(
         raise ValueError("give svalue, optimise or sgrid")
     info = complete_meta(meta).select("cube_id", "codes", "t").join(meta.select("cube_id", "tshift"), "cube_id")
     rows = raw if is_standing else standing(raw)
-    axis = rows.groupBy("cube_id").agg(F.array_sort(F.collect_set(F.unix_date("obs_date"))).alias("full"))
+    if regular:
+        ends = rows.groupBy("cube_id").agg(F.min("obs_date").alias("a"), F.max("obs_date").alias("z"))
+        axis = ends.join(info.where("t > 0").select("cube_id", "t"), "cube_id").select("cube_id", periods(F.col("a"), F.col("z"), F.col("t")).alias("full"))
+    else:
+        axis = rows.groupBy("cube_id").agg(F.array_sort(F.collect_set(F.unix_date("obs_date"))).alias("full"))
     last = F.slice("full", F.when(F.lit(nsmooth) > 0, F.size("full") - nsmooth + 1).otherwise(F.lit(1)), F.size("full"))
     axis = axis.where(F.size("full") >= max(4, nsmooth)).select("cube_id", "full", last.alias("axis"))
     axis = settled(axis.join(info, "cube_id"), MAX_CUBES)
     rows = join_small(rows, axis.select("cube_id", "codes", F.element_at("axis", 1).alias("first")), "cube_id", "inner", MAX_CUBES)
-    rows = rows.where((F.unix_date("obs_date") >= F.col("first")))
-    value = F.when(~is_missing(F.col("value"), F.col("codes")), F.col("value"))
-    series = rows.groupBy("cube_id", "pixel_id").agg(F.collect_list(packed(F.col("obs_date"), value)).alias("p"))
+    # missing readings and those before the axis are not collected, but their pixels stay
+    counts = ~is_missing(F.col("value"), F.col("codes")) & (F.unix_date("obs_date") >= F.col("first"))
+    series = rows.groupBy("cube_id", "pixel_id").agg(F.collect_list(F.when(counts, packed(F.col("obs_date"), F.col("value")))).alias("p"))
     if sgrid is not None:
         series = series.join(sgrid.select("cube_id", "pixel_id", F.col("log10_s").cast("double").alias("s")), ["cube_id", "pixel_id"], "left")
     else:
@@ -179,10 +186,21 @@ def _axis_plan(b: pa.RecordBatch, step: int | None, start: date | None, nupdate:
     return days, days + shift - first, target - first, target, n_daily
 
 
+def periods(first: Column, last: Column, t: Column) -> Column:
+    """First days (since 1970) of all periods of ``t`` days from ``first`` to ``last``; they start anew each 1 January."""
+    day = lambda y, m, d: F.unix_date(F.make_date(y, F.lit(m), F.lit(d)))
+    years = F.transform(F.sequence(F.year(first), F.year(last)), lambda y: F.sequence(day(y, 1, 1), day(y, 12, 31), t.cast("int")))
+    return F.filter(F.flatten(years), lambda d: d.between(F.unix_date(first), F.unix_date(last)))
+
+
 def composites(raw: DataFrame, meta: DataFrame) -> DataFrame:
-    """Irregular readings as a raw cube on its regular axis: (cube_id, pixel_id, obs_date, value), one per observed period."""
-    grid = regular_grid(raw, meta).where("status = 'observed'")
-    return grid.select("cube_id", "pixel_id", from_julian(F.col("period").cast("string")).alias("obs_date"), stored(F.col("value")).alias("value"))
+    """Irregular readings as a raw cube on its regular axis: (cube_id, pixel_id, obs_date, value).
+
+    One row per period from a pixel's first to its last reading; value is null where none is valid.
+    """
+    grid = regular_grid(raw, meta)
+    value = F.when(F.col("status") == "observed", F.col("value"))
+    return grid.select("cube_id", "pixel_id", from_julian(F.col("period").cast("string")).alias("obs_date"), stored(value).alias("value"))
 
 
 def update_sgrid(old: DataFrame | None, smooth: DataFrame) -> DataFrame:

@@ -513,14 +513,14 @@ def tail_update(spark, d):
 def smooth_raw(spark, d):
     """All raw cubes at once: readings on each cube's regular axis, V-curve smoothing of each pixel, values at dekads."""
     raw, meta = table(spark, d, "raw"), table(spark, d, "cube_meta")
-    return pipelines.smooth_cubes(written(pipelines.composites(raw, meta), "composites"), meta, optimise=True, step=10, is_standing=True)
+    return pipelines.smooth_cubes(written(pipelines.composites(raw, meta), "composites"), meta, optimise=True, step=10, is_standing=True, regular=True)
 
 
 @query(None)
 def smooth_tail(spark, d):
     """The last 36 periods of each raw cube in, the last 6 out, fixed penalty and envelope."""
     raw, meta = table(spark, d, "raw"), table(spark, d, "cube_meta")
-    return pipelines.smooth_cubes(written(pipelines.composites(raw, meta), "composites"), meta, svalue=1.0, p=0.9, nsmooth=36, nupdate=6, is_standing=True)
+    return pipelines.smooth_cubes(written(pipelines.composites(raw, meta), "composites"), meta, svalue=1.0, p=0.9, nsmooth=36, nupdate=6, is_standing=True, regular=True)
 
 
 @query(

@@ -173,3 +173,26 @@ def test_runs_log_what_they_read_and_commit_it_with_the_rows(spark, tmp_path, mo
     assert sorted(x.cube_id for x in pipelines.read_run_log(spark, runs).collect()) == [A, A, B]
     cli.main([*args, "--granules", str(tmp_path / "granules")])
     assert len(log.commits()) == 2
+
+
+def test_smooth_queries_take_all_pixels_and_periods(spark, tmp_path):
+    from chronoraster.plans import catalogue
+
+    first = lambda i: dt.date(2019 + i // 46, 1, 1) + dt.timedelta(8 * (i % 46))
+    gap, n = (30, 31, 32), 60
+    rows = [(A, 0, first(i), 4000 + 50 * (i % 7)) for i in range(n) if i not in gap]
+    rows += [(A, 1, first(2), 7), (A, 2, first(40), -3000), (A, 2, first(59), -3000)]  # not in the tail; never valid
+    raw(spark, rows).write.parquet(str(tmp_path / "raw.parquet"))
+    META_ROW = (A, 2, 2, None, "P", [1.0, -1.0], -3000.0, 8, 8, False, "VIM", -2000.0, 10000.0)
+    spark.createDataFrame([META_ROW], META).write.parquet(str(tmp_path / "cube_meta.parquet"))
+    tail = catalogue.queries()["smooth_tail"](spark, str(tmp_path)).collect()
+    assert {(r.pixel_id, r.target_date) for r in tail} == {(k, first(i)) for k in (0, 1, 2) for i in range(54, 60)}
+    assert {(r.pixel_id, r.smoothed, r.value is None) for r in tail} == {(0, True, False), (1, False, True), (2, False, True)}
+    assert {r.pixel_id: r.smoothed for r in catalogue.queries()["smooth_raw"](spark, str(tmp_path)).collect()} == {0: True, 1: False, 2: False}
+    r, m = spark.read.parquet(str(tmp_path / "raw.parquet")), spark.read.parquet(str(tmp_path / "cube_meta.parquet"))
+    out = pipelines.smooth_cubes(pipelines.composites(r, m), m, svalue=1.0, is_standing=True, regular=True).where("pixel_id = 0").collect()
+    y, w = np.zeros((n, 1)), np.ones((n, 1))
+    y[:, 0] = [4000 + 50 * (i % 7) for i in range(n)]
+    y[list(gap)], w[list(gap)] = 0, 0
+    assert [x.value for x in sorted(out, key=lambda x: x.target_date)] == np.rint(ws2d(y, 10.0, w)[:, 0]).tolist()
+    assert sorted(x.target_date for x in out) == [first(i) for i in range(n)]
