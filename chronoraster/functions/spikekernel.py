@@ -3,21 +3,35 @@
 Input is one row per series, left-aligned and in time order.  Three faults:
 
 * ``range``: outside the physical bounds,
-* ``stuck``: a run of ``STUCK_RUN`` or more equal values,
-* ``spike``: phase-space thresholding.  With u the reading less the median of
-  its neighbours, du and d2u its first and second differences, a reading is a
-  candidate when (u, du), (du, d2u) or (u, d2u) lies outside the ellipse whose
-  half axes are the universal threshold sqrt(2 ln n) times the series' robust
-  scales (median absolute deviation; the last ellipse is turned by the
-  regression angle).  Candidates are replaced by the neighbours' median, and
-  the rest is tested again until no new ones appear.  A candidate, alone or with
-  one neighbour, is a spike if it stands off the line between the readings before
-  and after it by ``SPIKE_SCALES`` times the series' noise (robust scale about
-  the line through both neighbours), and off both sides, to the same side, by
-  ``SIDE_SHARE`` of that: after a lasting change of level a reading stands near
-  what follows.  Both must hold for the medians of ``NEAR`` readings on each side
-  and, with ``NEAREST_SHARE`` of the limits, for the nearest ones, so that the
-  turn of a steep season is no spike.
+* ``stuck``: a run of ``STUCK_RUN`` or more equal values (first differences of zero),
+* ``spike``: phase-space thresholding, as follows.
+
+Each reading is a point of three coordinates: the *value* v, detrended by the
+level of its surroundings; the *first difference* of v between its neighbours;
+and the *second difference*, its height over the line between its neighbours.
+The level is that one of three which lies nearest to the reading: the median of
+``NEAR`` readings before it, that of as many after it, or the line between both;
+so a lasting change of level leaves no value.  Value and second difference are
+turned by the angle of their regression.  A reading is a candidate when its
+point lies outside the ellipsoid whose half axes are ``TIMES`` times the
+universal threshold sqrt(2 ln n) times the coordinates' robust scales.
+Candidates that stand out themselves are replaced by their level, scales, angle
+and ellipsoid are estimated again from what is left, and the series is tested
+again until no new ones appear.  Every round flags a reading or is the series'
+last one, so there are at most n + 1.
+
+The exact check that follows has no scale of its own.  A candidate stands out
+if its value is the largest among its neighbours' and not less than ``OWN`` of
+its second difference, and if it lies off the medians of both sides and off the
+nearest readings on both sides, all to the same side and by ``SHARE`` of its
+value; a neighbour that is a candidate to the same side is passed over.  So the
+turn of a steep season and the neighbours of a spike are none.  A reading
+without readings on both sides is none either.
+
+``TIMES``: the universal threshold is what the largest of n Gaussian readings
+comes to; 2.25 times it leaves under 2 flags in 1,000 readings of simulated
+seasonal series with Laplace noise, 1 in 20,000 with Gaussian noise
+(``tests/test_spikes.py``).
 """
 
 from __future__ import annotations
@@ -27,11 +41,11 @@ import warnings
 import numpy as np
 
 STUCK_RUN = 6
-SPIKE_SCALES = 6.5
-SIDE_SHARE = 0.6
-NEAREST_SHARE = 0.75
-ROUNDS = 4
+TIMES = 2.25
+OWN = 0.5
+SHARE = 0.5
 NEAR = 3  # readings looked at on either side
+FLOOR = 1.0  # least scale: readings are whole numbers
 
 RANGE, STUCK, SPIKE = 1, 2, 4
 
@@ -45,13 +59,12 @@ def _row_median(a: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _scale(a: np.ndarray) -> np.ndarray:
-    """Robust standard deviation of each row: from the median of absolute deviations, or from their
-    80 % point where that is larger (series of few distinct values have medians of 0)."""
+    """Robust standard deviation of each row: mean of what three quantiles of the absolute deviations from the median say."""
     count = np.isfinite(a).sum(axis=1)
     s = np.sort(np.abs(a - _row_median(a, count)[:, None]), axis=1)
     r, c = np.arange(len(a)), np.maximum(count, 1)
-    mid = 0.5 * (s[r, (c - 1) // 2] + s[r, c // 2])
-    return np.maximum(1.4826 * mid, s[r, (c - 1) * 4 // 5] / 1.2816)
+    # Quantiles of |z| of a standard normal variable
+    return sum(s[r, ((c - 1) * share).astype(int)] / z for share, z in ((0.5, 0.6745), (0.6827, 1.0), (0.8, 1.2816))) / 3
 
 
 def _shift(a: np.ndarray, k: int) -> np.ndarray:
@@ -94,43 +107,9 @@ def runs(x: np.ndarray) -> np.ndarray:
     return np.repeat(length, length).reshape(rows, width)
 
 
-def candidates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phase-space candidates, robust scale of the series about its neighbours)."""
-    n = np.isfinite(x).sum(axis=1)
-    bad = np.zeros(x.shape, bool)
-    lam = np.sqrt(2 * np.log(np.maximum(n, 2)))[:, None]
-    work = x
-    su = sd = s2 = None
-    for _ in range(ROUNDS):
-        level = _stack_median([_shift(work, k) for k in range(-NEAR, NEAR + 1) if k])
-        u, clean = x - level, work - level
-        du, d2 = _shift(u, 1) - u, _shift(u, 1) - 2 * u + _shift(u, -1)
-        if su is None:
-            su, sd, s2 = (np.maximum(_scale(a), 1e-9)[:, None] for a in (u, du, d2))
-        cu, c2 = clean, _shift(clean, 1) - 2 * clean + _shift(clean, -1)
-        theta = np.arctan2(np.nansum(cu * c2, axis=1), np.maximum(np.nansum(cu * cu, axis=1), 1e-9))[:, None]
-        a, b, c = lam * su, lam * sd, lam * s2
-        outer = (u / a) ** 2 + (du / b) ** 2 > 1
-        outer |= (du / b) ** 2 + (d2 / c) ** 2 > 1
-        cos, sin = np.cos(theta), np.sin(theta)
-        p, q = u * cos + d2 * sin, d2 * cos - u * sin
-        det = np.maximum(np.abs(cos**4 - sin**4), 1e-3)
-        pa = np.sqrt(np.abs((a * cos) ** 2 - (c * sin) ** 2) / det)
-        qc = np.sqrt(np.abs((c * cos) ** 2 - (a * sin) ** 2) / det)
-        outer |= (p / np.maximum(pa, 1e-9)) ** 2 + (q / np.maximum(qc, 1e-9)) ** 2 > 1
-        outer |= np.abs(u) > a
-        outer &= np.isfinite(u)
-        new = outer & ~bad
-        if not new.any():
-            break
-        bad |= outer
-        work = np.where(bad & np.isfinite(level), level, x)
-    return bad, su[:, 0]
-
-
-def _side(x: np.ndarray, day: np.ndarray, direction: int, skip: int, readings: int) -> tuple[np.ndarray, np.ndarray]:
-    """Median value and mean day of the nearest readings beyond ``skip`` cells on one side."""
-    ks = [direction * k for k in range(skip, skip + readings)]
+def _side(x: np.ndarray, day: np.ndarray, direction: int) -> tuple[np.ndarray, np.ndarray]:
+    """Median value and mean day of the ``NEAR`` readings on one side; NaN where there is none."""
+    ks = [direction * k for k in range(1, NEAR + 1)]
     values, days = [_shift(x, k) for k in ks], [_shift(day, k) for k in ks]
     seen = np.isfinite(np.stack(values))
     n = seen.sum(axis=0)
@@ -138,60 +117,72 @@ def _side(x: np.ndarray, day: np.ndarray, direction: int, skip: int, readings: i
     return _stack_median(values), np.where(n > 0, mean_day, np.nan)
 
 
-def noise(x: np.ndarray, day: np.ndarray) -> np.ndarray:
-    """Robust scale of a series' readings about the line through their two neighbours."""
-    a, b, da, db = _shift(x, -1), _shift(x, 1), _shift(day, -1), _shift(day, 1)
-    return _scale(x - (a + (b - a) * (day - da) / np.maximum(db - da, 1e-9))) / np.sqrt(1.5)
-
-
-def _stands_off(xc, dc, width: int, readings: int) -> tuple[np.ndarray, np.ndarray]:
-    """How far ``width`` readings from each cell on stand off the line between both sides, and off each side.
-
-    A side is the median of its ``readings`` nearest readings.  NaN where one side
-    has none; 0 off the sides where they do not stand to the same side of both.
-    """
-    before, day_before = _side(xc, dc, -1, 1, readings)
-    after, day_after = _side(xc, dc, 1, width, readings)
-    span = np.maximum(day_after - day_before, 1e-9)
-    line_off = side_off = np.inf
-    sign = 0.0
-    for k in range(width):
-        here = _shift(xc, k)
-        off_b, off_a = here - before, here - after
-        line_off = np.minimum(line_off, np.abs(here - before - (after - before) * (_shift(dc, k) - day_before) / span))
-        sign = sign + np.sign(off_b) + np.sign(off_a)
-        side_off = np.minimum(side_off, np.minimum(np.abs(off_b), np.abs(off_a)))
-    return line_off, np.where(np.abs(sign) == 2 * width, side_off, np.where(np.isfinite(sign), 0.0, np.nan))
+def _off_line(x, day, before, day_before, after, day_after):
+    return x - (before + (after - before) * (day - day_before) / np.maximum(day_after - day_before, 1e-9))
+
+
+def coordinates(x: np.ndarray, day: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(value, first difference, second difference, median before, median after) of each reading."""
+    before, day_before = _side(x, day, -1)
+    after, day_after = _side(x, day, 1)
+    v = _off_line(x, day, before, day_before, after, day_after)
+    for off in (x - before, x - after):
+        v = np.where(np.abs(off) < np.abs(v), off, v)
+    first = (np.nan_to_num(_shift(v, 1)) - np.nan_to_num(_shift(v, -1))) / 2
+    second = np.nan_to_num(_off_line(x, day, _shift(x, -1), _shift(day, -1), _shift(x, 1), _shift(day, 1)))
+    return v, first, second, before, after
+
+
+def candidates(v: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Readings whose point lies outside their series' ellipsoid; n: readings of each series."""
+    ok = np.isfinite(v)
+    z, second = np.where(ok, v, 0.0), np.where(ok, second, 0.0)
+    angle = np.arctan2((z * second).sum(axis=1), np.maximum((z * z).sum(axis=1), 1e-9))[:, None]
+    cos, sin = np.cos(angle), np.sin(angle)
+    distance = 0.0
+    for c in (z * cos + second * sin, first, second * cos - z * sin):
+        distance = distance + (c / np.maximum(_scale(np.where(ok, c, np.nan)), FLOOR)[:, None]) ** 2
+    limit = TIMES**2 * 2 * np.log(np.maximum(n, 2))
+    return ok & (distance > limit[:, None])
+
+
+def _stands_out(x, v, second, before, after, cand) -> np.ndarray:
+    """The check of shape: no scale, only the reading's own value against its surroundings."""
+    sign = np.sign(v)
+
+    def off(other):
+        return (np.sign(x - other) == sign) & (np.abs(x - other) >= SHARE * np.abs(v))
+
+    mate = np.where(cand, sign, 0.0)
+    left = off(_shift(x, -1)), (_shift(mate, -1) == sign) & off(_shift(x, -2))
+    right = off(_shift(x, 1)), (_shift(mate, 1) == sign) & off(_shift(x, 2))
+    sides = (left[0] & right[0]) | (left[0] & right[1]) | (left[1] & right[0])
+    size = np.nan_to_num(np.abs(v))
+    largest = (size > np.nan_to_num(_shift(size, -1))) & (size >= np.nan_to_num(_shift(size, 1)))
+    return (sign != 0) & off(before) & off(after) & sides & largest & (np.abs(v) >= OWN * np.abs(second))
 
 
 def spikes(x: np.ndarray, day: np.ndarray) -> np.ndarray:
-    bad, _ = candidates(x)
-    limit = SPIKE_SCALES * np.maximum(noise(x, day), 1.0)[:, None]
+    n = np.isfinite(x).sum(axis=1)
     found = np.zeros(x.shape, bool)
-    for _ in range(2):
-        # spikes found in the first pass do not stand as neighbours in the second
-        base = np.where(found, np.nan, x)
-        order, (xc, dc) = _compact(np.isfinite(base), base, day)
-        cand = np.take_along_axis(bad, np.maximum(order, 0), 1) & (order >= 0)
-        new = np.zeros(xc.shape, bool)
-        for width in (1, 2):
-            some = cand if width == 1 else cand | (np.nan_to_num(_shift(cand.astype(float), 1)) > 0)
-            hit = some & np.isfinite(xc)
-            for readings, share in ((NEAR, 1.0), (1, NEAREST_SHARE)):
-                line_off, side_off = _stands_off(xc, dc, width, readings)
-                hit &= (line_off > share * limit) & (side_off > SIDE_SHARE * share * limit)
-            if width == 2:
-                hit &= ~new & ~(np.nan_to_num(_shift(new.astype(float), 1)) > 0)
-            new |= hit
-            if width == 2:
-                new |= np.nan_to_num(_shift(hit.astype(float), -1)) > 0
-        if not new.any():
-            break
+    left, rows = x.copy(), np.arange(len(x))
+    while len(rows):
+        now = left[rows]
+        v, first, second, before, after = coordinates(now, day[rows])
+        cand = candidates(v, first, second, n[rows])
+        new = cand & _stands_out(now, v, second, before, after, cand) & ~found[rows]
         r, c = np.nonzero(new)
-        found[r, order[r, c]] = True
+        found[rows[r], c] = True
+        left[rows[r], c] = now[r, c] - v[r, c]
+        rows = rows[new.any(axis=1)]  # the others can't change any more
     return found
 
 
+def noise(x: np.ndarray, day: np.ndarray) -> np.ndarray:
+    """Robust scale of a series' readings about the line through their two neighbours; the unit in which tests state spikes."""
+    return _scale(_off_line(x, day, _shift(x, -1), _shift(day, -1), _shift(x, 1), _shift(day, 1))) / np.sqrt(1.5)
+
+
 def flag(x: np.ndarray, day: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Fault bits of each cell. x has NaN where a row has no (more) readings; lo, hi: bounds per row, NaN for none."""
     out = np.zeros(x.shape, np.uint8)
