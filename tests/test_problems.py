@@ -154,6 +154,48 @@ def test_fill_marks_exactly_the_missing_and_beats_the_global_median(spark):
     assert (alone.value, alone.filled, alone.method) == (None, True, "none")
 
 
+def test_held_out_readings_are_filled_better_than_by_plain_averages(spark):
+    """Error of the filled values against what a product median, a pixel mean and linear interpolation give."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows, truth, plain, line = [], {}, {}, {}
+    for pixel in range(80):
+        level, swing = rng.choice([1500, 3500, 6000]), rng.choice([300, 1200])
+        t = np.arange(0, 360, 6)
+        v = np.rint(level + swing * np.sin(t / 365 * 2 * np.pi) + rng.normal(0, 60, len(t))).astype(int)
+        gone = np.zeros(len(t), bool)
+        i = rng.integers(2, len(t) - 14)
+        gone[i : i + 12] = True  # a gap of more than two months
+        for k in range(len(t)):
+            if gone[k]:
+                truth[len(rows) + 1] = v[k]
+                plain[len(rows) + 1] = v[~gone].mean()
+                line[len(rows) + 1] = np.interp(t[k], t[~gone], v[~gone])
+            rows.append((A, pixel, day(1 + int(t[k])), None if gone[k] else int(v[k])))
+    every = [r[3] for r in rows if r[3] is not None]
+    out = {r.obs_id: r.value for r in fill.fill_missing(raw(spark, rows), meta(spark)).where("filled").collect()}
+    error = lambda guess: np.mean([abs(guess(k) - v) for k, v in truth.items()])
+    ours, mean, median = error(out.get), error(plain.get), error(lambda k: np.median(every))
+    assert ours < 0.8 * mean and ours < 0.3 * median, (ours, mean, median, error(line.get))
+
+
+def test_clusters_are_assigned_alike_by_numpy_and_by_the_jvm(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from chronoraster.functions.prototypes import fit
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([None, rnd.random(), float("nan")]), rnd.random(), rnd.choice(["a", "b", None])) for i in range(400)]
+    num = np.array([[np.nan if r[1] is None else r[1], r[2]] for r in rows])
+    cat = np.array([[r[3]] for r in rows], object)
+    model = fit(num, cat, np.ones(len(rows)), 6, np.array([0.3]))
+    df = spark.createDataFrame(rows, "i int, a double, b double, c string")
+    got = [r.k for r in df.select("i", model.nearest([F.col("a"), F.col("b")], [F.col("c")]).alias("k")).orderBy("i").collect()]
+    assert got == model.assign(num, cat).tolist()
+
+
 def test_attributes_are_completed_and_named(spark):
     m = {r.cube_id: r for r in fill.fill_attributes(meta(spark)).collect()}
     assert m[B].projection == "P" and m[B].resolution == [1.0, -1.0] and m[B].temporalresolution == 16
