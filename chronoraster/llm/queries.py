@@ -17,18 +17,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents")).where("state <> 'text' and size(ids) = 0").select("doc_id")
 
 
+def _mixture(spark: SparkSession, d: str) -> mixture.Mixture:
+    return mixture.measure(table(spark, d, "documents"), table(spark, d, "mix_target"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    _, plans, _ = mixture.measure(table(spark, d, "documents"), table(spark, d, "mix_target"))
-    return mixture.shares(spark, plans).where("short").select("source")
+    return mixture.shares(_mixture(spark, d)).where("short").select("source")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    _, plans, _ = mixture.measure(table(spark, d, "documents"), table(spark, d, "mix_target"))
-    return mixture.shares(spark, plans)
+    return mixture.shares(_mixture(spark, d))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixture.select(*mixture.measure(table(spark, d, "documents"), table(spark, d, "mix_target")))
+    return mixture.select(_mixture(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

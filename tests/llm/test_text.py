@@ -128,47 +128,61 @@ def brute(lengths, budget):
     return max(sums)
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 5), max_size=5), st.integers(0, 200))
-def test_knapsack_is_exact(lengths, budget):
-    for f in (mixture.bounded_knapsack, mixture.fit_budget):
-        got = f(lengths, budget)
-        assert all(c <= lengths[n] for n, c in got.items())
-        assert sum(n * c for n, c in got.items()) == brute(lengths, budget)
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(0, 60), st.integers(1, 6), max_size=6), st.integers(0, 300))
+def test_budget_is_fitted_exactly(lengths, budget):
+    got, proven = mixture.fit_budget(lengths, budget)
+    assert proven and all(c <= lengths[n] for n, c in got.items())
+    assert sum(n * c for n, c in got.items()) == brute({n: c for n, c in lengths.items() if n}, budget)
+
+
+def test_budget_of_few_long_documents_is_fitted_exactly():
+    for lengths, budget, best in (({60000: 1, 50000: 1, 40000: 1}, 90000, 90000), ({60001: 2, 50000: 3}, 111000, 110001), ({997: 40, 1009: 3}, 20001, None)):
+        got, proven = mixture.fit_budget(lengths, budget)
+        assert proven and sum(n * c for n, c in got.items()) == (best or brute(lengths, budget))
+
+
+def test_what_is_not_proven_is_said():
+    lengths = {60001: 400, 50003: 700}
+    got, proven = mixture.fit_budget(lengths, 12_345_678, work=1)
+    reached = sum(n * c for n, c in got.items())
+    assert not proven and 12_345_678 - 50003 < reached <= 12_345_678 and all(c <= lengths[n] for n, c in got.items())
 
 
-def test_large_budget_is_met_closely():
+def test_large_budget_is_met():
     rnd = random.Random(1)
-    lengths = {n: rnd.randint(1, 2000) for n in rnd.sample(range(20, 4000), 900)}
+    lengths = {n: rnd.randint(1, 200_000) for n in rnd.sample(range(20, 20_000), 3000)}
     total = sum(n * c for n, c in lengths.items())
-    got = mixture.fit_budget(lengths, total // 3)
-    assert sum(n * c for n, c in got.items()) == total // 3 and all(c <= lengths[n] for n, c in got.items())
+    got, proven = mixture.fit_budget(lengths, total // 3)
+    assert proven and sum(n * c for n, c in got.items()) == total // 3 and all(c <= lengths[n] for n, c in got.items())
 
 
-def test_mixture(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_mixture(spark, monkeypatch, broadcast):
     monkeypatch.setattr(mixture, "ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(mixture, "BROADCAST_ROWS", broadcast)
     rows = [(i, "word " * (1 + i % 5), " Big" if i % 2 else "big") for i in range(300)]
     rows += [(1000 + i, "word " * 9, "SMALL ") for i in range(4)] + [(2000, "x", "unlisted"), (2001, None, "big"), (2002, "", "small"), (2003, "x", None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 as n_tokens", "2 as source_key", "3 as pos")
     target = spark.createDataFrame([("Big", 0.6, 1), ("small", 0.3, 2), ("gone", 0.1, 5)], "source string, target_share double, max_repeat int")
-    sizes, plans, hist = mixture.measure(docs, target)
-    by = {p.source: p for p in plans}
+    m = mixture.measure(docs, target)
+    by = {s.source: s for s in m.sources}
+    report = {r.source: r for r in mixture.shares(m).collect()}
     total = by["Big"].tokens + by["small"].tokens
     assert by["small"].short and by["gone"].short and not by["Big"].short
-    assert by["Big"].chosen == int(0.6 * total) and by["small"].chosen == 2 * by["small"].tokens
-    out = mixture.select(sizes, plans, hist).collect()
+    assert report["Big"].chosen_tokens == int(0.6 * total) and report["small"].chosen_tokens == 2 * by["small"].tokens
+    assert all(r.proven for r in report.values()) and 0 <= report["Big"].missed_tokens < 1
+    out = mixture.select(m).collect()
     assert len({r.doc_id for r in out}) == len(out) and all(r.n_uses <= by[r.source].cap for r in out)
     for s in ("Big", "small"):
-        assert sum(r.n_tokens * r.n_uses for r in out if r.source == s) == by[s].chosen
-    again = mixture.select(sizes, plans, hist).collect()
-    assert {r.doc_id for r in out} == {r.doc_id for r in again}
-    report = {r.source: r for r in mixture.shares(spark, plans).collect()}
+        assert sum(r.n_tokens * r.n_uses for r in out if r.source == s) == report[s].chosen_tokens
+    assert {r.doc_id for r in out} == {r.doc_id for r in mixture.select(m).collect()}
     assert abs(sum(r.reached_share for r in report.values()) - 1) < 1e-9
     with pytest.raises(ValueError):
         mixture.measure(docs, target.union(target))
     empty = mixture.measure(docs.limit(0), target)
-    assert mixture.select(*empty).count() == 0 and mixture.shares(spark, empty[1]).where("short").count() == 0
-    assert mixture.measure(docs, target.limit(0))[1] == []
+    assert mixture.select(empty).count() == 0 and mixture.shares(empty).where("short").count() == 0
+    assert mixture.measure(docs, target.limit(0)).sources == []
 
 
 def test_queries_are_registered():
