@@ -3,19 +3,26 @@
 The form is computed per text, in three steps:
 
 1. *Loose forms*: line by line decomposition (NFD), width and joined forms
-   (full-width, half-width, ligatures, presentation forms, styled letters)
-   replaced by their plain letters, every kind of blank by U+0020, look-alike
-   hyphens by ``-``, invisible characters removed.
+   (full-width, half-width, ligatures, presentation forms, styled letters,
+   Roman numerals) replaced by their plain letters, every kind of blank by
+   U+0020, look-alike hyphens by ``-``, invisible characters removed.
 2. *Skeleton*: every look-alike letter becomes the representative of its class.
+   Classes join letters of one case and one prototype of the Unicode security
+   data over all scripts (``confusables``), one letter of each script: so texts
+   of one script never lose a distinction.  Of several letters of a script the
+   ASCII letter is in the class, else the one whose other case is a look-alike
+   too (omicron and not sigma), else the first; the others are *weak* members
+   (but for styled Latin letters, such as script or phonetic ones).
 3. *Script spelling*: each token's resolved script set is the intersection of
-   the scripts in which its letters exist.  A token whose set is one script is
-   spelt in it.  A token whose set holds several (a whole-script confusable:
-   every letter has a twin) is spelt in the script that the text's decided
-   tokens use most.  A token with an empty set (a true mix, e.g. a Latin name
-   with a Cyrillic ending) keeps the representatives.
-
-Steps 1 and 2 map texts that look the same to one string, and step 3 depends
-on that string alone, so the form is equal exactly when the skeleton is.
+   its letters' script sets (with extensions; Han, kana and hangul share the
+   sets of Japanese, Korean and Bopomofo writing), where a letter counts for
+   all scripts that have a letter of its class.  A token whose set is one
+   script is spelt in it.  A token whose set holds several (a whole-script
+   confusable) is spelt in the one that the text's decided tokens use most.  In
+   a token whose set is empty some letters are impostors: weak members give way
+   to their class's representative (``c\u03c3ffee`` is ``coffee``, while a Greek
+   word keeps its sigma), and if that resolves it, it is spelt like the others.
+   A token that stays mixed keeps the representatives.
 
 Null in, null out; an empty text stays empty.  Letter case, accents, digits
 and line breaks are kept; CRLF and LF are different line breaks here.
@@ -30,8 +37,11 @@ from functools import lru_cache
 
 import regex
 
-# Letters of other scripts that are drawn like a Latin letter
-# (after the Unicode security mechanisms' confusables), in pairs "other Latin".
+from chronoraster.llm import confusables
+
+# Letters of other scripts that are drawn like a Latin letter, in
+# pairs "other Latin"; they add to the Unicode security data, or stand in for
+# them where they are not to be had.
 CYRILLIC_TWINS = (
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW ҮY ԌG ӀI "
     "аa сc ԁd еe һh іi јj оo рp ԛq ѕs ѵv ԝw хx уy ӏl"
@@ -39,29 +49,123 @@ CYRILLIC_TWINS = (
 GREEK_TWINS = "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ οo νv ρp αa ϲc ϳj ϱp"
 ARMENIAN_TWINS = "ՍU ՏS ՕO օo սu հh ցg ոn յj զq"
 CHEROKEE_TWINS = "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᏆI ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ"
-LATIN_TWINS = "ɑa ɡg ɩi"  # Latin letters drawn like another Latin letter
+# Names of Latin letters that are drawn like another Latin letter, and blocks of phonetic and
+# medievalist ones, which no living spelling tells from the plain letters.
+STYLED_NAME = regex.compile(r"LATIN (SMALL )?LETTER (SCRIPT|ALPHA|IOTA|SMALL CAPITAL)\b")
+STYLED_BLOCKS = ((0x1D00, 0x1DBF), (0x1E9C, 0x1E9D), (0x1EFA, 0x1EFF), (0xA730, 0xA7FF), (0xAB30, 0xAB6F))
 HYPHENS = "‐‑‒–−⁃˗﹘﹣－"
 # Invisible although not of category Cf: joiners, fillers, variation selectors.
 INVISIBLE_EXTRA = "͏ᅟᅠ឴឵ㅤﾠ"
 PLAIN_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>")
 
-SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee")
+
+#: Latin, Cyrillic and Greek come first where a text decides nothing.
+FIRST = ("Latin", "Cyrillic", "Greek")
+# Writing systems that use several scripts.
+AUGMENTED = {"Han": ("Hanb", "Jpan", "Kore"), "Hiragana": ("Jpan",), "Katakana": ("Jpan",), "Hangul": ("Kore",), "Bopomofo": ("Hanb",)}
+
+
+def _script_names() -> list[str]:
+    """Scripts by name: those words that begin letters' names and are scripts to the pattern library."""
+    words = set()
+    for cp in range(0x41, sys.maxunicode + 1):
+        if unicodedata.category(chr(cp))[0] == "L" and not 0x4E01 <= cp <= 0x9FFF and not 0x20001 <= cp <= 0x3FFFF and not 0xAC01 <= cp <= 0xD7A3:
+            parts = unicodedata.name(chr(cp), "").split()
+            words |= {"_".join(parts[:k]) for k in (1, 2, 3)}
+    out = []
+    for w in sorted({*words, "HAN", "HANGUL"} - {"", "COMMON", "INHERITED"}):
+        try:
+            regex.compile(rf"\p{{scx={w}}}")
+            out.append(w.title())
+        except regex.error:
+            pass
+    return out
+
+
+@lru_cache(maxsize=1)
+def script_patterns() -> dict[str, regex.Pattern]:
+    return {n: regex.compile(rf"\p{{scx={n}}}") for n in (_now.names if _now else _script_names())}
+
+
+@lru_cache(maxsize=None)
+def scripts_of(ch: str) -> frozenset[str]:
+    """Scripts (and writing systems) that a letter is used in as written; empty for letters of all scripts. Bounded by the number of characters."""
+    if ch.isascii():
+        return frozenset(("Latin",))
+    own = {s for s, p in script_patterns().items() if p.match(ch)}
+    return frozenset(own.union(*(AUGMENTED.get(s, ()) for s in own)))
 
 
 def _pairs(s: str) -> list[tuple[str, str]]:
     return [(p[0], p[1]) for p in s.split() if p[0] != p[1]]
 
 
-#: script -> {Latin representative: the script's own letter}
-SPELLING: dict[str, dict[str, str]] = {"Latin": {}}
-CLASS_OF: dict[str, str] = {}
-for _script, _table in (("Cyrillic", CYRILLIC_TWINS), ("Greek", GREEK_TWINS), ("Armenian", ARMENIAN_TWINS), ("Cherokee", CHEROKEE_TWINS)):
-    SPELLING[_script] = {}
-    for _own, _latin in _pairs(_table):
-        CLASS_OF[_own] = _latin
-        SPELLING[_script].setdefault(_latin, _own)
-for _own, _latin in _pairs(LATIN_TWINS):
-    CLASS_OF[_own] = _latin
+def _styled(ch: str) -> bool:
+    name = unicodedata.name(ch, "")
+    return bool(STYLED_NAME.match(name)) or name.startswith("LATIN") and any(a <= ord(ch) <= z for a, z in STYLED_BLOCKS)
+
+
+class Classes:
+    """names: scripts; strong, weak: letter -> representative; spelling: script -> {representative: the script's letter}."""
+
+    def __init__(self, prototypes: dict[str, str]):
+        self.names = list(script_patterns())
+        self.strong: dict[str, str] = {}
+        self.weak: dict[str, str] = {}
+        self.spelling: dict[str, dict[str, str]] = {}
+        pairs = [p for t in (CYRILLIC_TWINS, GREEK_TWINS, ARMENIAN_TWINS, CHEROKEE_TWINS) for p in _pairs(t)]
+        proto = {c: prototypes.get(c, c) for c in {*prototypes, *(chr(i) for i in range(0x41, 0x7B)), *(c for p in pairs for c in p)}}
+        proto |= {c: p for c, p in ((p, p) for p in prototypes.values() if len(p) == 1) if c not in proto}
+        fixed = {own for own, _ in pairs}
+        for own, latin in pairs:
+            proto[own] = proto[latin]
+        groups: dict[tuple[str, str], list[str]] = {}
+        for ch in sorted(proto):
+            if (k := confusables.kind(ch, proto[ch])) and len(unicodedata.normalize("NFKD", ch)) == 1 and unicodedata.normalize("NFKD", ch) == ch:
+                groups.setdefault((proto[ch], k), []).append(ch)
+        for (_, k), letters in groups.items():
+            by_script: dict[str, list[str]] = {}
+            styled = set(filter(_styled, letters))
+            rep = next((c for c in letters if c.isascii()), next((c for c in letters if c not in styled), letters[0]))
+            for ch in letters:
+                for s in scripts_of(ch) if ch not in styled else ():
+                    by_script.setdefault(s, []).append(ch)
+            other = proto.get(rep.swapcase(), rep.swapcase())
+            main = {s: min(cs, key=lambda c: (not c.isascii(), len(c.swapcase()) != 1 or proto.get(c.swapcase(), c.swapcase()) != other, c)) for s, cs in by_script.items()}
+            if len(set(main.values())) < 2 and len(letters) < 2:
+                continue
+            for ch in letters:
+                if ch == rep:
+                    continue
+                if ch in fixed or ch in styled or all(main[s] == ch for s in scripts_of(ch)):
+                    self.strong[ch] = rep
+                else:
+                    self.weak[ch] = rep
+            for s, ch in main.items():
+                if ch == rep or ch in self.strong:
+                    self.spelling.setdefault(s, {})[rep] = ch
+        self.scripts: dict[str, frozenset[str]] = {}
+        for s, letters in self.spelling.items():
+            for rep in letters:
+                self.scripts[rep] = self.scripts.get(rep, frozenset()) | {s}
+
+
+_now: Classes | None = None
+
+
+def classes() -> Classes:
+    """The classes in use: those sent by ``install``, else made here, once a process."""
+    global _now
+    if _now is None:
+        _now = Classes(confusables.prototypes())
+    return _now
+
+
+def install(sent: Classes) -> None:
+    """Take over the driver's classes, in a task."""
+    global _now
+    if _now is None:
+        _now = sent
 
 
 @lru_cache(maxsize=1)
@@ -81,7 +185,8 @@ def loose_table() -> dict[int, str]:
             how = unicodedata.decomposition(ch)
             tag = how.split(" ", 1)[0] if how.startswith("<") else ""
             ligature = tag == "<compat>" and cat in ("Ll", "Lu", "Lt", "Lo") and len(how.split()) >= 3
-            if tag in PLAIN_TAGS or ligature:
+            numeral = tag == "<compat>" and cat == "Nl"  # Roman numerals
+            if tag in PLAIN_TAGS or ligature or numeral:
                 table[cp] = unicodedata.normalize("NFKD", ch)
     table |= {ord(c): "-" for c in HYPHENS}
     table[0x00B5] = "μ"  # micro sign, drawn as the Greek letter
@@ -92,13 +197,11 @@ def loose_table() -> dict[int, str]:
 @lru_cache(maxsize=1)
 def skeleton_table() -> dict[int, str]:
     """``loose_table`` followed by the look-alike classes, as one mapping."""
-    classes = {ord(a): b for a, b in CLASS_OF.items()}
-    return {cp: s.translate(classes) for cp, s in loose_table().items()} | classes
+    strong = {ord(a): b for a, b in classes().strong.items()}
+    return {cp: s.translate(strong) for cp, s in loose_table().items()} | strong
 
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
-_OTHER = {s: regex.compile(rf"\p{{Script={s}}}") for s in SCRIPTS[1:]}
-_LATIN = regex.compile(r"\p{Script=Latin}")
 
 
 @lru_cache(maxsize=None)
@@ -108,12 +211,14 @@ def _plain(ch: str) -> str:
 
 
 @lru_cache(maxsize=None)
-def _other_script(ch: str) -> bool:
-    return any(r.match(ch) for r in _OTHER.values())
+def _decides(ch: str) -> bool:
+    """Can this character of a skeleton change how tokens are spelt?"""
+    base = unicodedata.normalize("NFD", ch)[0]
+    return unicodedata.category(base)[0] == "L" and ("Latin" not in class_scripts(base) or base in classes().weak)
 
 
 def skeleton(text: str | None) -> str | None:
-    """Equal for texts that look the same; letters in their Latin representative."""
+    """Letters in their class's representative, before tokens are resolved."""
     if text is None or text.isascii():
         return text if text is None or "\t" not in text else text.replace("\t", " ")
     text = unicodedata.normalize("NFC", text)
@@ -125,49 +230,65 @@ def skeleton(text: str | None) -> str | None:
     return unicodedata.normalize("NFC", text)
 
 
-def resolved_scripts(token: str) -> frozenset[str]:
-    """Scripts in which every letter of a (decomposed) skeleton token exists."""
-    left = set(SCRIPTS)
-    for ch in token:
-        if unicodedata.category(ch)[0] != "L":
-            continue
-        own = {s for s in SCRIPTS[1:] if ch in SPELLING[s] or _OTHER[s].match(ch)}
-        if _LATIN.match(ch):
-            own.add("Latin")
-        left &= own or {"other"}
-    return frozenset(left)
+@lru_cache(maxsize=None)
+def class_scripts(ch: str) -> frozenset[str]:
+    """Scripts that have a letter of this skeleton letter's class; empty for letters of all scripts."""
+    own = scripts_of(ch)
+    return own | classes().scripts.get(ch, frozenset()) if own else own
+
+
+def _common(sets) -> frozenset[str]:
+    left = None
+    for s in sets:
+        if s:
+            left = s if left is None else left & s
+    return frozenset() if left is None else left
+
+
+def _letters(token: str) -> list[str]:
+    return [c for c in token if unicodedata.category(c)[0] == "L"]
 
 
 @lru_cache(maxsize=100_000)
-def _token_scripts(token: str) -> frozenset[str]:
-    return resolved_scripts(token)
+def resolve(token: str) -> tuple[str, frozenset[str]]:
+    """(token, its script set): of a decomposed skeleton token, weak members replaced if only that resolves it."""
+    left = _common(map(class_scripts, _letters(token)))
+    if not left:
+        weak = classes().weak
+        plain = "".join(weak.get(c, c) for c in token)
+        if plain != token and (other := _common(map(class_scripts, _letters(plain)))):
+            return plain, other
+    return token, left
+
+
+def resolved_scripts(token: str) -> frozenset[str]:
+    return resolve(token)[1]
 
 
 @lru_cache(maxsize=100_000)
 def _spell(token: str, script: str) -> str:
-    own = SPELLING[script]
+    own = classes().spelling.get(script)
     return "".join(own.get(c, c) for c in token) if own else token
 
 
 def spell(skel: str) -> str:
     """Step 3 on a skeleton."""
-    if skel.isascii() or not any(c > "\x7f" and _other_script(c) for c in set(skel)):
-        return skel  # no letter decides for another script: the representatives are Latin already
+    if skel.isascii() or not any(c > "\x7f" and _decides(c) for c in set(skel)):
+        return skel  # every token is spelt in Latin, in which the representatives are
     text = unicodedata.normalize("NFD", skel)
-    tokens = _TOKEN.findall(text)
-    sets = {t: _token_scripts(t) for t in set(tokens)}
+    tokens = Counter(_TOKEN.findall(text))
+    found = {t: resolve(t) for t in tokens}
     votes = Counter()
-    for t, n in Counter(tokens).items():
-        if len(sets[t]) == 1:
-            votes[next(iter(sets[t]))] += n
-    order = sorted(SCRIPTS, key=lambda s: (-votes[s], SCRIPTS.index(s)))
+    for t, n in tokens.items():
+        if len(s := found[t][1]) == 1:
+            votes[next(iter(s))] += n
+
+    def rank(script: str):
+        return -votes[script], FIRST.index(script) if script in FIRST else len(FIRST), script
 
     def put(m) -> str:
-        t = m.group()
-        s = sets[t]
-        if not s:
-            return t
-        return _spell(t, next(x for x in order if x in s))
+        t, s = found[m.group()]
+        return _spell(t, min(s, key=rank)) if s else t
 
     return unicodedata.normalize("NFC", _TOKEN.sub(put, text))
 
@@ -177,17 +298,19 @@ def consistent_form(text: str | None) -> str | None:
     return None if s is None else spell(s)
 
 
+@lru_cache(maxsize=100_000)
+def _written(token: str) -> tuple[bool, bool]:
+    letters = _letters(token)
+    own = _common(map(scripts_of, letters))
+    if not own:
+        return any(map(scripts_of, letters)), False
+    strong = classes().strong
+    return False, bool(_common(class_scripts(strong.get(c, c)) for c in letters) - own)
+
+
 def mixed_tokens(text: str | None) -> tuple[int, int]:
-    """(tokens mixing scripts, whole-script confusable tokens) as written."""
+    """(tokens that mix scripts, tokens of one script that could be another's) as written; tokens of ASCII letters do not count."""
     if text is None or text.isascii():
         return 0, 0
-    mixed = whole = 0
-    for t in _TOKEN.findall(unicodedata.normalize("NFD", text)):
-        if t.isascii():
-            continue
-        scripts = {s for c in t if unicodedata.category(c)[0] == "L" for s in (*SCRIPTS,) if (_LATIN if s == "Latin" else _OTHER[s]).match(c)}
-        if len(scripts) > 1:
-            mixed += 1
-        elif scripts and scripts != {"Latin"} and all(c in CLASS_OF for c in t if unicodedata.category(c)[0] == "L"):
-            whole += 1
-    return mixed, whole
+    found = [_written(t) for t in _TOKEN.findall(unicodedata.normalize("NFD", text)) if not t.isascii()]
+    return sum(m for m, _ in found), sum(w for _, w in found)

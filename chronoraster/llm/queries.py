@@ -41,8 +41,12 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return forms.normalize_corpus(table(spark, d, "documents")).select("doc_id", "form", F.hex("form_key").alias("form_key"), "n_mixed", "n_whole")
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return forms.lookalike_classes(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_found, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p6_found, p6_ids, p7_found, p7_shares, p7_mix, p8_found, p8_forms, p8_classes)}
 
 
 def oracle_sql() -> dict[str, str]:
