@@ -20,7 +20,7 @@ def by_chunks(texts, enc=None):
     return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] if len(n) else []
 
 
-ALPHABET = " \n\r\t\x0b\x1c  　\u0085'sdlvretm0123٣½²,.:->!<|éАя中。ﬁ́\U0001f3ac" + "ab"
+ALPHABET = " \n\r\t\x0b\x1c  　\u0085'sdlvretm0123٣½²,.:->!<|éАя中。ﬁ́\U0001f3ac、「」！？，本はとカ\u30fb\u30a0゛ー々〇\u3099" + "ab"
 
 
 @settings(max_examples=400, deadline=None)
@@ -37,8 +37,42 @@ def test_long_special_and_empty_texts(monkeypatch):
     want = [WHOLE(t or "") for t in texts]
     assert by_chunks(texts) == want
     monkeypatch.setattr(chunkcode, "BLOCK_BYTES", 1000)
-    monkeypatch.setattr(chunkcode, "CACHE_PIECES", 10)
+    monkeypatch.setattr(chunkcode, "CHUNK_CACHE", 3000)
+    monkeypatch.setattr(chunkcode, "WORD_CACHE", 3000)
     assert by_chunks(texts) == want
+    monkeypatch.setattr(chunkcode, "LONGEST_KEPT", 4)
+    assert by_chunks(texts) == want
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=120), max_size=6))
+def test_short_chunks_are_joined_exactly(texts):
+    """Chunk ends at every second position and a window of three bytes: nearly all joins are encoded again."""
+    old = chunkcode.WINDOW, chunkcode.ONE_IN
+    chunkcode.WINDOW, chunkcode.ONE_IN = 3, 2
+    try:
+        assert by_chunks(texts) == [WHOLE(t) for t in texts]
+    finally:
+        chunkcode.WINDOW, chunkcode.ONE_IN = old
+
+
+def test_chunks_are_passages_and_the_caches_stay_within_bounds(monkeypatch):
+    rnd = random.Random(3)
+    han = "".join(map(chr, range(0x5000, 0x5400)))
+    passages = ["".join(rnd.choice(han) for _ in range(1500)) + "。" for _ in range(60)]
+    texts = [passages[i % 60] + str(i) + passages[(i * 7) % 60] for i in range(200)]
+    monkeypatch.setattr(chunkcode, "CHUNK_CACHE", 1 << 20)
+    monkeypatch.setattr(chunkcode, "WORD_CACHE", 1 << 20)
+    enc = chunkcode.ChunkEncoder()
+    assert by_chunks(texts, enc) == [WHOLE(t) for t in texts]
+    for cache in (enc.chunks, enc.words):
+        assert sum(len(k) + v.nbytes for k, v in cache.ids.items()) <= 1 << 20
+    assert enc.reused > enc.encoded
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(4000)]
+    enc = chunkcode.ChunkEncoder()
+    by_chunks([" ".join(rnd.choice(words) for _ in range(20000))], enc)
+    long = [len(k) for k in enc.chunks.ids if len(k) > 20]
+    assert 150 < np.mean(long) < 1000
 
 
 def test_equal_hashes_do_not_mix_pieces(monkeypatch):
@@ -51,7 +85,7 @@ def test_equal_hashes_do_not_mix_pieces(monkeypatch):
 def test_pieces_are_reused():
     enc = chunkcode.ChunkEncoder()
     by_chunks(["one two three, 4 five\n"] * 50, enc)
-    assert enc.reused > 10 * enc.encoded
+    assert enc.reused > 10 * enc.encoded > 0
 
 
 def test_encode_corpus(spark):
