@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +32,61 @@ def last_success(run_log: DataFrame) -> DataFrame:
     return last.select("cube_id", F.col("r.processed_at").alias("processed_at"), F.array_distinct(F.filter(used, lambda x: x.isNotNull() & (x != ""))).alias("used"))
 
 
-def manifests(granules: DataFrame, run_log: DataFrame) -> DataFrame:
-    """One row per (cube_id, label): its file in the current manifest and in the processed one.
+# ---- table versions: manifests, deletion vectors and their difference
+#
+# A version of a table is a manifest: its data files, each with the number of its rows and a deletion vector, the
+# positions of rows that do not count.  Files are immutable, so versions differ in files added, files removed and
+# deletion vectors only, and no data file has to be read to tell which records changed.
+
+MANIFEST = "path string, rows bigint, deleted array<bigint>"
+
+
+def align(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, old, new): the files of two manifests (keys, path, rows, deleted) side by side; null where a version has none."""
+    file = F.struct("path", "rows", F.coalesce("deleted", F.array().cast("array<bigint>")).alias("deleted"))
+    return old.select(*keys, file.alias("old")).join(new.select(*keys, file.alias("new")), keys, "full")
 
-    The current manifest holds the greatest proc_ts of all files, the processed
-    one that of the files collected up to the last successful run; ties go to
-    the greatest granule_id.  ``deleted`` is the processed manifest's deletion
-    vector: labels that were there but that the run did not use.  Both manifests
-    come out of one partial aggregation over the files.
+
+def with_deltas(aligned: DataFrame) -> DataFrame:
+    """Adds ``deltas``, an array of (op, path, rows, skip), to rows with the structs ``old`` and ``new``.
+
+    op is ``insert`` or ``delete``.  rows are the positions that it concerns, null
+    for all of the file but those in ``skip``, which are subtracted when it is
+    read.  A file that both versions have gives the positions by which its
+    deletion vectors differ; one without a live row gives nothing.
+    """
+    kind = "array<struct<op:string,path:string,rows:array<bigint>,skip:array<bigint>>>"
+    none, nothing = F.lit(None).cast("array<bigint>"), F.array().cast("array<bigint>")
+
+    def whole(op: str, file: str) -> Column:
+        live = F.col(file).isNotNull() & (F.size(f"{file}.deleted") < F.col(f"{file}.rows"))
+        return F.when(live, F.array(F.struct(F.lit(op).alias("op"), F.col(f"{file}.path").alias("path"), none.alias("rows"), F.col(f"{file}.deleted").alias("skip")))).otherwise(F.array().cast(kind))
+
+    def part(op: str, more: str, less: str) -> Column:
+        rows = F.array_except(f"{more}.deleted", f"{less}.deleted")
+        return F.when(F.size(rows) > 0, F.array(F.struct(F.lit(op).alias("op"), F.col("new.path").alias("path"), rows.alias("rows"), nothing.alias("skip")))).otherwise(F.array().cast(kind))
+
+    same = F.col("old").isNotNull() & F.col("new").isNotNull() & F.col("old.path").eqNullSafe(F.col("new.path"))
+    return aligned.withColumn("deltas", F.when(same, F.concat(part("delete", "new", "old"), part("insert", "old", "new"))).otherwise(F.concat(whole("delete", "old"), whole("insert", "new"))))
+
+
+def manifest_delta(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(op, path, rows, skip): record deltas between two versions of a table, given by their manifests (path, rows, deleted)."""
+    named = [m.select("*", F.col("path").alias("__key")) for m in (old, new)]
+    return with_deltas(align(*named, ["__key"])).select(F.explode("deltas").alias("d")).select("d.*")
+
+
+def manifests(granules: DataFrame, run_log: DataFrame) -> DataFrame:
+    """One row per (cube_id, label): its file in the processed version (``old``) and in the current one (``new``).
+
+    A cube's version has one file a date, which holds that date's record; a file
+    is known by its checksum, as one with equal content is no change.  The
+    current version has the greatest proc_ts of all files, the processed one
+    that of the files collected up to the last successful run; ties go to the
+    greatest granule_id.  A label that the run did not use is in its file's
+    deletion vector.  A label that the run used and that no file has any more
+    has a file in the processed version only.  Both manifests come out of one
+    partial aggregation over the files, aligned as they are.
     """
     runs = last_success(run_log)
     g = granules.select("cube_id", granule_label(granules).alias("label"), "proc_ts", "granule_id", "cksum", "collected_at").dropna(subset=KEY)
@@ -48,62 +94,35 @@ def manifests(granules: DataFrame, run_log: DataFrame) -> DataFrame:
     entry = F.struct("proc_ts", "granule_id", "cksum")
     files = g.groupBy(*KEY).agg(F.max(entry).alias("current"), F.max(F.when(F.col("collected_at") <= F.col("processed_at"), entry)).alias("processed"))
     used = runs.select("cube_id", F.explode("used").alias("label"), F.lit(True).alias("in_run"))
-    files = files.join(used, KEY, "left")
-    return files.withColumn("deleted", F.col("processed").isNotNull() & F.col("in_run").isNull()).drop("in_run")
+    files = files.join(used, KEY, "full")
+
+    def file(of: str, deleted: Column) -> Column:
+        return F.struct(F.col(f"{of}.cksum").cast("string").alias("path"), F.lit(1).cast("bigint").alias("rows"), deleted.cast("array<bigint>").alias("deleted"), F.col(f"{of}.granule_id").alias("granule_id"))
+
+    unused = F.when(F.col("in_run").isNull(), F.array(F.lit(0))).otherwise(F.array())
+    old = F.when(F.col("processed").isNotNull() | F.col("current").isNull(), file("processed", unused))
+    return files.select(*KEY, old.alias("old"), F.when(F.col("current").isNotNull(), file("current", F.array())).alias("new"))
 
 
 def diff(files: DataFrame) -> DataFrame:
     """(cube_id, label, change, granule_id): what the next run has to process.
 
-    ``added``: not in the processed manifest, or deleted from it; ``replaced``:
-    there with another checksum.  A null checksum equals only a null checksum.
+    ``added``: only inserted, not in the processed version or deleted from it;
+    ``replaced``: inserted and deleted, there with another checksum; ``removed``:
+    only deleted, used by the last run and without a file now (granule_id is
+    null).  A null checksum equals only a null checksum.
     """
-    new = F.col("processed").isNull() | F.col("deleted")
-    other = ~F.col("current.cksum").eqNullSafe(F.col("processed.cksum"))
-    change = F.when(new, "added").when(other, "replaced")
-    return files.select(*KEY, change.alias("change"), F.col("current.granule_id").alias("granule_id")).where("change is not null")
+    d = with_deltas(files)
+    into, out_of = (F.exists("deltas", lambda x: x["op"] == op) for op in ("insert", "delete"))  # noqa: B023
+    change = F.when(into & out_of, "replaced").when(into, "added").when(out_of, "removed")
+    return d.select(*KEY, change.alias("change"), F.col("new.granule_id").alias("granule_id")).where("change is not null")
 
 
 def pending(granules: DataFrame, run_log: DataFrame) -> DataFrame:
     return diff(manifests(granules, run_log))
 
 
-# ---- table versions and commits
-
-
-@dataclass(frozen=True)
-class DataFile:
-    """An immutable file of a table version; ``deleted`` is its deletion vector (row positions)."""
-
-    path: str
-    rows: int
-    deleted: tuple[int, ...] = ()
-
-
-def manifest_delta(old: list[DataFile], new: list[DataFile]) -> dict[str, list]:
-    """Record deltas between two versions of a table.
-
-    ``insert``: (path, rows to read or None for all that are left); ``delete``:
-    the same for records that are gone.  A file in both versions gives only the
-    positions by which its deletion vectors differ.
-    """
-    a, b = {f.path: f for f in old}, {f.path: f for f in new}
-
-    def live(f: DataFile):
-        return None if not f.deleted else tuple(sorted(set(range(f.rows)) - set(f.deleted)))
-
-    out: dict[str, list] = {"insert": [], "delete": []}
-    for path in sorted(b.keys() - a.keys()):
-        out["insert"].append((path, live(b[path])))
-    for path in sorted(a.keys() - b.keys()):
-        out["delete"].append((path, live(a[path])))
-    for path in sorted(a.keys() & b.keys()):
-        gone, back = set(b[path].deleted) - set(a[path].deleted), set(a[path].deleted) - set(b[path].deleted)
-        if gone:
-            out["delete"].append((path, tuple(sorted(gone))))
-        if back:
-            out["insert"].append((path, tuple(sorted(back))))
-    return out
+# ---- commits
 
 
 class CommitLog:
@@ -113,6 +132,10 @@ class CommitLog:
     ``_commits/N.json`` (through a temporary file and a rename that fails if N
     exists).  Readers see only data that a commit names, so a failed run leaves
     nothing behind that is read, and the next one starts from the last commit.
+
+    Two runs can't commit the same N where a rename refuses an existing target in
+    one step, as HDFS does.  On a local file system and on object stores the
+    test and the rename are two steps: there, let one run write at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):

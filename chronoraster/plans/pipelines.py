@@ -262,7 +262,8 @@ def smooth_run(spark: SparkSession, raw_path: str, meta: DataFrame, out: str, la
     raw = spark.read.parquet(raw_path)
     if granules_path:
         todo = incremental.pending(spark.read.parquet(granules_path), read_run_log(spark, run_log))
-        todo = settled(todo.select("cube_id").distinct(), MAX_CUBES)
+        # rows of dates without a granule stay in the raw cubes: nothing to smooth anew
+        todo = settled(todo.where("change <> 'removed'").select("cube_id").distinct(), MAX_CUBES)
         if not todo.take(1):
             print("nothing is pending")
             return

@@ -47,7 +47,8 @@ def p3_attributes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_changes(spark, d).select("cube_id", "label")
+    """Of granules' dates; dates that the last run used and that no granule has any more are in ``p4_changes``."""
+    return p4_changes(spark, d).where("change <> 'removed'").select("cube_id", "label")
 
 
 def p4_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +140,12 @@ SELECT cur.cube_id, cur.label FROM cur LEFT JOIN used ON cur.cube_id = used.cube
 WHERE used.granule_id IS NULL OR used.cksum IS DISTINCT FROM cur.cksum
 """
 
-P4_CHANGES_SQL = P4_SQL.replace("SELECT cur.cube_id, cur.label FROM", "SELECT cur.cube_id, cur.label, CASE WHEN used.granule_id IS NULL THEN 'added' ELSE 'replaced' END AS change, cur.granule_id FROM")
+P4_CHANGES_SQL = (
+    P4_SQL.replace("SELECT cur.cube_id, cur.label FROM", "SELECT cur.cube_id, cur.label, CASE WHEN used.granule_id IS NULL THEN 'added' ELSE 'replaced' END AS change, cur.granule_id FROM")
+    + """UNION ALL
+SELECT cube_id, label, 'removed', NULL FROM u WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.cube_id = u.cube_id AND g.label = u.label)
+"""
+)
 
 P5_SQL = """
 WITH r AS (SELECT file_id, cube_id, rtrim(label) AS label, written_at, first_pixel + unnest(range(len(vals))) AS pixel FROM chunk_files WHERE len(vals) > 0),

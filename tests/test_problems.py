@@ -180,7 +180,7 @@ def test_held_out_readings_are_filled_better_than_by_plain_averages(spark):
     assert ours < 0.8 * mean and ours < 0.3 * median, (ours, mean, median, error(line.get))
 
 
-def test_clusters_are_assigned_alike_by_numpy_and_by_the_jvm(spark):
+def test_clusters_are_assigned_alike_in_a_plan(spark):
     import numpy as np
     from pyspark.sql import functions as F
 
@@ -229,14 +229,60 @@ def test_pending_dates(spark):
     ]
     got = {(x.cube_id, x.label): x.change for x in incremental.pending(spark.createDataFrame(g, G), spark.createDataFrame(r, R)).collect()}
     assert got == {("a", "2020001"): "added", ("a", "2020025"): "replaced", ("a", "2020033"): "added", ("a", "2020041"): "added", ("b", "2020001"): "added"}
-    assert incremental.pending(spark.createDataFrame([], G), spark.createDataFrame(r, R)).count() == 0
+    gone = incremental.pending(spark.createDataFrame([], G), spark.createDataFrame(r, R)).collect()
+    assert {(x.label, x.change, x.granule_id) for x in gone} == {(k, "removed", None) for k in ("2020025", "2020009", "2020017", "2020041")}
     assert incremental.pending(spark.createDataFrame(g, G), spark.createDataFrame([], R)).count() == 7
 
 
-def test_manifest_delta_with_deletion_vectors():
-    F = incremental.DataFile
-    d = incremental.manifest_delta([F("a", 3), F("b", 4, (1,)), F("c", 2)], [F("a", 3, (0,)), F("b", 4, (2,)), F("d", 2, (1,))])
-    assert d == {"insert": [("d", (0,)), ("b", (1,))], "delete": [("c", None), ("a", (0,)), ("b", (2,))]}
+def test_manifest_delta_with_deletion_vectors(spark):
+    v = lambda *files: spark.createDataFrame(list(files), incremental.MANIFEST)
+    old, new = v(("a", 3, []), ("b", 4, [1]), ("c", 2, []), ("e", 2, [0, 1])), v(("a", 3, [0]), ("b", 4, [2]), ("d", 2, [1]), ("f", 0, None))
+    got = {(r.op, r.path, None if r.rows is None else tuple(r.rows), tuple(r.skip)) for r in incremental.manifest_delta(old, new).collect()}
+    assert got == {("insert", "d", None, (1,)), ("insert", "b", (1,), ()), ("delete", "c", None, ()), ("delete", "a", (0,), ()), ("delete", "b", (2,), ())}
+    assert incremental.manifest_delta(old, old).count() == 0
+
+
+def test_manifest_delta_against_brute_force(spark):
+    rnd = random.Random(5)
+
+    def version():
+        return {f"f{i}": (6, sorted(rnd.sample(range(6), rnd.choice([0, 0, 1, 3, 6])))) for i in range(40) if rnd.random() < 0.7}
+
+    def live(v):
+        return {(p, k) for p, (n, gone) in v.items() for k in range(n) if k not in gone}
+
+    for _ in range(3):
+        a, b = version(), version()
+        frames = [spark.createDataFrame([(p, n, d) for p, (n, d) in v.items()], incremental.MANIFEST) for v in (a, b)]
+        got = {"insert": set(), "delete": set()}
+        for r in incremental.manifest_delta(*frames).collect():
+            rows = [k for k in range(6) if k not in r.skip] if r.rows is None else r.rows
+            got[r.op] |= {(r.path, k) for k in rows}
+        assert got == {"insert": live(b) - live(a), "delete": live(a) - live(b)}
+
+
+def test_a_run_that_dies_between_write_and_commit_is_made_good(spark, tmp_path, monkeypatch):
+    """Nothing of it is read, its version is not processed, and the next run does all of the work once."""
+    log = incremental.CommitLog(spark, str(tmp_path / "out"))
+    assert log.write(spark.range(3), "v1", manifest=spark.range(1))
+
+    class Dies:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            if name == "rename":
+                raise OSError("the driver is gone")
+            return getattr(self.fs, name)
+
+    with monkeypatch.context() as m:
+        m.setattr(log, "_fs", Dies(log._fs))
+        with pytest.raises(OSError):
+            log.write(spark.range(3, 9), "v2", manifest=spark.range(1))
+    again = incremental.CommitLog(spark, str(tmp_path / "out"))
+    assert again.processed_version() == "v1" and again.read().count() == 3
+    assert again.write(spark.range(3, 9), "v2", manifest=spark.range(1)) and not again.write(spark.range(3, 9), "v2")
+    assert sorted(r.id for r in again.read().collect()) == list(range(9))
 
 
 def test_commit_log_is_exactly_once(spark, tmp_path):
