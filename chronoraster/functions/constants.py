@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import date
 
-# Parts of a granule's file name.
-PRODUCT_PATTERN = r"^(?:VNP|M[OYX]D)\d{2}\w\d"
-VERSION_PATTERN = r".+\.(\d{3})\..+"
-TILE_PATTERN = r"h\d+v\d+"
-DATE_PATTERN = r".+A(\d{7}).+"
-PROC_PATTERN = r".+(\d{13}).+"
+# Parts of a granule's file name, PRODUCT.AYYYYDDD[.hHHvVV].VVV.YYYYDDDHHMMSS.ext, each between two dots.
+PRODUCT_PART = r"^((?:MOD|MYD|MXD|VNP)\d\d[A-Z]\d)\."
+DATE_PART = r"\.A(\d{7})(?:\.|$)"
+TILE_PART = r"\.(h\d\dv\d\d)(?:\.|$)"
+VERSION_PART = r"\.(\d{3})(?:\.|$)"
+PROC_PART = r"\.(\d{13})(?:\.|$)"
+
+# Product families.
 VI_PATTERN = r"^(?:VNP|M[OYX]D)13.+"
 LST_PATTERN = r"^M[YO]D11.+"
 SUPPORTED_PATTERN = r"^(?:VNP13|M[OYX]D13|M[YO]D11).+"

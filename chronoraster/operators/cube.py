@@ -37,18 +37,30 @@ def to_long(series: DataFrame, keys: list[str], axis: list[date], value: str, ou
     return long.join(F.broadcast(days), "pos").select(*keys, F.col("day").alias(date_name), out)
 
 
-def upsert(stored: DataFrame, new: DataFrame, date_col: str = "obs_date") -> DataFrame:
-    """Append on the time axis: dates supplied again are overwritten, new ones appended.
-
-    ValueError if a stored date that is kept does not precede every new date.
-    An empty ``new`` leaves the stored rows as they are.
+def require_order(stored: DataFrame, new: DataFrame, date_col: str = "obs_date", by: tuple[str, ...] = ()) -> None:
+    """ValueError if a stored date that ``new`` does not replace is not before all new dates of its cube (``by``)."""
+    keys = [*by, date_col]
+    fresh = new.select(*keys).distinct()
+    kept = stored.select(*keys).distinct().join(fresh, keys, "left_anti")
+    last, first = kept.groupBy(*by).agg(F.max(date_col).alias("kept_last")), fresh.groupBy(*by).agg(F.min(date_col).alias("first_new"))
+    ends = last.join(first, list(by)) if by else last.crossJoin(first)  # without cubes: one row each
+    bad = ends.where("kept_last >= first_new").take(1)
+    if bad:
+        name = "".join(f"{bad[0][c]}: " for c in by)
+        raise ValueError(f"{name}stored date {bad[0]['kept_last']} does not precede the new date {bad[0]['first_new']}")
+
+
+def upsert(stored: DataFrame, new: DataFrame, date_col: str = "obs_date", by: tuple[str, ...] = ()) -> DataFrame:
+    """Append on the time axis: dates supplied again are overwritten, new ones appended, in order.
+
+    ``by`` names what makes a cube; each cube has its own axis.  ValueError if a
+    stored date that is kept does not precede every new date of its cube.  An
+    empty ``new`` leaves the stored rows as they are.
     """
-    fresh = new.select(date_col).distinct()
-    kept_last = stored.join(F.broadcast(fresh), date_col, "left_anti").agg(F.max(date_col).alias("m")).first()["m"]
-    first_new = new.agg(F.min(date_col).alias("m")).first()["m"]
-    if kept_last is not None and first_new is not None and kept_last >= first_new:
-        raise ValueError(f"stored date {kept_last} does not precede the new date {first_new}")
-    return stored.join(F.broadcast(fresh), date_col, "left_anti").unionByName(new)
+    require_order(stored, new, date_col, by)
+    fresh = new.select(*by, date_col).distinct()
+    kept = stored.join(fresh if by else F.broadcast(fresh), [*by, date_col], "left_anti")  # without cubes: days of a calendar
+    return kept.unionByName(new.select(*stored.columns))
 
 
 def tail(df: DataFrame, date_col: str, k: int) -> DataFrame:
@@ -79,11 +91,12 @@ def last_date(df: DataFrame, date_col: str = "obs_date") -> date | None:
     return df.agg(F.max(date_col).alias("m")).first()["m"]
 
 
-def require_last(df: DataFrame, expected: date, date_col: str = "obs_date") -> None:
-    """Precondition of a continued run: the stored axis ends at ``expected``."""
-    last = last_date(df, date_col)
-    if last != expected:
-        raise ValueError(f"the last stored date is {last}, not {expected}")
+def require_last(df: DataFrame, expected: date, date_col: str = "obs_date", by: str = "cube_id") -> None:
+    """Precondition of a continued run: the stored axis of every cube ends at ``expected``."""
+    ends = df.groupBy(*([by] if by in df.columns else [])).agg(F.max(date_col).alias("last"))
+    bad = ends.where(~F.col("last").eqNullSafe(F.lit(expected))).take(5)
+    if bad:
+        raise ValueError(f"stored axes do not end at {expected}: " + ", ".join(f"{r[0]} at {r['last']}" if by in df.columns else str(r["last"]) for r in bad))
 
 
 def missing_dates(df: DataFrame, by: list[str], date_col: str, start: date, end: date, step: int = 8) -> DataFrame:

@@ -12,8 +12,8 @@ from chronoraster.functions import constants as C
 from chronoraster.functions.axis import from_julian
 
 
-def _part(pattern: str, group: int, col: str = "filename") -> Column:
-    return F.nullif(F.regexp_extract(F.col(col), pattern, group), F.lit(""))
+def _part(pattern: str, col: str = "filename") -> Column:
+    return F.nullif(F.regexp_extract(F.col(col), pattern, 1), F.lit(""))
 
 
 def parse_names(paths: DataFrame, path_col: str = "path") -> DataFrame:
@@ -22,8 +22,8 @@ def parse_names(paths: DataFrame, path_col: str = "path") -> DataFrame:
     Parts that a name lacks are null; a name without tile is a global product's.
     """
     d = paths.select(F.col(path_col).alias("path")).withColumn("filename", F.element_at(F.split("path", "/"), -1))
-    d = d.withColumn("product", _part(C.PRODUCT_PATTERN, 0)).withColumn("tile", _part(C.TILE_PATTERN, 0)).withColumn("version", _part(C.VERSION_PATTERN, 1))
-    d = d.withColumn("julian", _part(C.DATE_PATTERN, 1)).withColumn("proc_ts", _part(C.PROC_PATTERN, 1).cast("bigint"))
+    d = d.withColumn("product", _part(C.PRODUCT_PART)).withColumn("tile", _part(C.TILE_PART)).withColumn("version", _part(C.VERSION_PART))
+    d = d.withColumn("julian", _part(C.DATE_PART)).withColumn("proc_ts", _part(C.PROC_PART).cast("bigint"))
     satellite = F.when(F.col("product").startswith("MOD"), "Terra").when(F.col("product").startswith("MYD"), "Aqua").when(F.col("product").startswith("VNP"), "SNPP")
     return d.select("path", "filename", "product", satellite.alias("satellite"), "tile", "version", from_julian(F.col("julian")).alias("raw_date"), "julian", "proc_ts", F.col("tile").isNull().alias("is_global"))
 

@@ -40,20 +40,12 @@ def collect(pixels: DataFrame, code: str | None = None, tiles_required: list[str
 
 
 def require_order(stored_rows: DataFrame, new: DataFrame) -> None:
-    """ValueError if a stored date that ``new`` does not replace is not before all new dates of its cube."""
-    fresh = new.select("cube_id", "obs_date").distinct()
-    kept = stored_rows.select("cube_id", "obs_date").distinct().join(fresh, ["cube_id", "obs_date"], "left_anti")
-    ends = kept.groupBy("cube_id").agg(F.max("obs_date").alias("kept_last")).join(fresh.groupBy("cube_id").agg(F.min("obs_date").alias("first_new")), "cube_id")
-    bad = ends.where("kept_last >= first_new").take(1)
-    if bad:
-        raise ValueError(f"{bad[0]['cube_id']}: stored date {bad[0]['kept_last']} does not precede the new date {bad[0]['first_new']}")
+    cube.require_order(stored_rows, new, "obs_date", ("cube_id",))
 
 
 def append_cube(stored_rows: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert of many cubes as one plan: dates supplied again are replaced, new ones appended, in order."""
-    require_order(stored_rows, new)
-    kept = stored_rows.join(new.select("cube_id", "obs_date").distinct(), ["cube_id", "obs_date"], "left_anti")
-    return kept.unionByName(new.select(*stored_rows.columns))
+    return cube.upsert(stored_rows, new, "obs_date", ("cube_id",))
 
 
 def smooth_cubes(

@@ -339,7 +339,7 @@ def missing_dates(spark, d):
 def cube_upsert(spark, d):
     e = e_long(spark, d).withColumn("v", F.round("v", 6))
     new = e.where(F.col("day") >= F.lit(date(2024, 1, 20))).withColumn("v", F.col("v") + 1)
-    return cube.upsert(e.where(F.col("day") < F.lit(date(2024, 1, 25))), new, "day")
+    return cube.upsert(e.where(F.col("day") < F.lit(date(2024, 1, 25))), new, "day", ("user_id",))
 
 
 @query(
@@ -747,10 +747,10 @@ def stream_append(spark, d):
     for i in range(3):
         e.where(part == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(e.schema).parquet(f"{base}/in")
-        append_stream(stream, StoredCube(spark, f"{base}/cube", "day"), f"{base}/checkpoint").awaitTermination()
+        append_stream(stream, StoredCube(spark, f"{base}/cube", "day", None, ("user_id",)), f"{base}/checkpoint").awaitTermination()
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return StoredCube(spark, f"{base}/cube", "day").read()
+    return StoredCube(spark, f"{base}/cube", "day", None, ("user_id",)).read()
 
 
 @query(

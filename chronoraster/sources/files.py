@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,16 +33,29 @@ def filter_cubes(cubes: DataFrame, product: str | None = None, code: str | None
     return cubes
 
 
-def read_csv_series(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+def read_csv_series(spark: SparkSession, path: str, index: str | None = None, header_row: int = 0) -> DataFrame:
     """(pos, series, value) of a CSV with one series per column; NaN and empty are null.
 
-    pos numbers the lines from 0 in file order, for a file of any number of blocks.
+    ``header_row`` counts the file's lines from 0; lines before it are left out.
+    pos numbers the lines after it from 0, in file order: lines are read as text
+    with their place in the file's blocks, and a block's first number is the sum
+    of the lines before it (one row per block on the driver).  Quoted line breaks
+    are not allowed.
     """
-    df = spark.read.csv(path, header=True)
-    lines = df.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])) if len(df.columns) else None
-    cols = [c for c in df.columns if c != index]
-    wide = spark.createDataFrame(lines, "pos bigint, " + ", ".join(f"`{c}` string" for c in df.columns))
-    long = wide.unpivot("pos", cols, "series", "value")
+    lines = spark.read.text(path).where("value <> ''").select("value", F.monotonically_increasing_id().alias("at"))
+    lines = lines.withColumns({"block": F.shiftright("at", 33), "within": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))})
+    count = {r.block: r.n for r in lines.groupBy("block").agg(F.count("*").alias("n")).collect()}
+    first, total = {}, 0
+    for block in sorted(count):
+        first[block], total = total, total + count[block]
+    if total <= header_row:
+        raise ValueError(f"{path} has no line {header_row}")
+    starts = F.broadcast(spark.createDataFrame(list(first.items()), "block bigint, start bigint"))
+    numbered = lines.join(starts, "block").select((F.col("start") + F.col("within") - (header_row + 1)).alias("pos"), "value")
+    names = next(csv.reader([numbered.where("pos = -1").first()["value"]]))
+    cells = F.from_csv("value", ", ".join(f"`{c}` string" for c in names), {"mode": "PERMISSIVE"})
+    wide = numbered.where("pos >= 0").select("pos", cells.alias("c")).select("pos", "c.*")
+    long = wide.unpivot("pos", [c for c in names if c != index], "series", "value")
     return long.select("pos", "series", F.nullif(F.expr("try_cast(value as double)"), F.lit(float("nan"))).alias("value"))
 
 
@@ -60,32 +75,82 @@ def parse_sidecars(df: DataFrame, xml: str = "xml") -> DataFrame:
 
 def parse_search(response: DataFrame) -> DataFrame:
     """(filename, tile, time_start, time_end, updated, link) of search entries."""
-    tile = F.nullif(F.regexp_extract("producer_granule_id", C.TILE_PATTERN, 0), F.lit(""))
+    tile = F.nullif(F.regexp_extract("producer_granule_id", C.TILE_PART, 1), F.lit(""))
     return response.select(
         F.col("producer_granule_id").alias("filename"), tile.alias("tile"), F.to_date(F.substring("time_start", 1, 10)).alias("time_start"),
         F.to_date(F.substring("time_end", 1, 10)).alias("time_end"), "updated", F.element_at("links", 1)["href"].alias("link"),
     )
 
 
-def _crc_table() -> list[int]:
-    table = []
-    for i in range(256):
-        c = i << 24
-        for _ in range(8):
-            c = (c << 1 ^ 0x04C11DB7 if c & 0x80000000 else c << 1) & 0xFFFFFFFF
-        table.append(c)
-    return table
+# Fixed value: the polynomial of the POSIX checksum.
+CRC_POLYNOMIAL = 0x04C11DB7
 
 
-def posix_cksum(data: bytes, _table: list[int] = _crc_table()) -> int:
-    """The checksum that the ``cksum`` command prints."""
+@lru_cache(maxsize=1)
+def _crc_table():
+    import numpy as np
+
+    c = np.arange(256, dtype=np.uint32) << np.uint32(24)
+    for _ in range(8):
+        c = np.where(c & np.uint32(1 << 31), c << np.uint32(1) ^ np.uint32(CRC_POLYNOMIAL), c << np.uint32(1))
+    return c
+
+
+@lru_cache(maxsize=64)
+def _shift_tables(zeros: int):
+    """Four tables of 256: what each byte of a state becomes after so many zero bytes."""
+    import numpy as np
+
+    table, out = _crc_table(), np.zeros((4, 256), np.uint32)
+    if zeros == 0:
+        for k in range(4):
+            out[k] = np.arange(256, dtype=np.uint32) << np.uint32(8 * k)
+        return out
+    if zeros == 1:
+        for k in range(4):
+            c = np.arange(256, dtype=np.uint32) << np.uint32(8 * k)
+            out[k] = c << np.uint32(8) ^ table[c >> np.uint32(24)]
+        return out
+    half = _shift_tables(zeros // 2)
+    for k in range(4):
+        out[k] = _shifted(half, half[k])
+    return out if zeros % 2 == 0 else np.stack([_shifted(_shift_tables(1), out[k]) for k in range(4)])
+
+
+def _shifted(tables, c):
+    return tables[0][c & 255] ^ tables[1][c >> 8 & 255] ^ tables[2][c >> 16 & 255] ^ tables[3][c >> 24]
+
+
+def posix_cksum(data: bytes, lanes: int = 4096) -> int:
+    """The checksum that the ``cksum`` command prints.
+
+    A long text is cut into ``lanes`` pieces of equal length, whose states are
+    advanced together byte by byte and then joined two by two: the state of a
+    whole is that of its first half after as many zero bytes as the second one
+    has, with the second one's state.
+    """
+    import numpy as np
+
+    table = _crc_table()
+    raw = np.frombuffer(data, np.uint8)
+    size = len(raw) // lanes
     c = 0
-    for byte in data:
-        c = (c << 8 & 0xFFFFFFFF) ^ _table[c >> 24 ^ byte]
-    n = len(data)
+    if size:
+        grid = raw[: size * lanes].reshape(lanes, size)
+        state = np.zeros(lanes, np.uint32)
+        for k in range(size):
+            state = state << np.uint32(8) ^ table[state >> np.uint32(24) ^ grid[:, k]]
+        while len(state) > 1:
+            state = _shifted(_shift_tables(size), state[::2]) ^ state[1::2]
+            size *= 2
+        c = int(state[0])
+    plain = table.tolist()
+    rest, n = raw[len(raw) // lanes * lanes :].tolist(), len(data)
     while n:
-        c = (c << 8 & 0xFFFFFFFF) ^ _table[c >> 24 ^ (n & 0xFF)]
+        rest.append(n & 0xFF)
         n >>= 8
+    for byte in rest:
+        c = (c << 8 & 0xFFFFFFFF) ^ plain[c >> 24 ^ byte]
     return c ^ 0xFFFFFFFF
 
 

@@ -207,13 +207,15 @@ def test_scan_and_csv(spark, tmp_path):
     (tmp_path / "s.csv").write_text("id,a,b\n1,1.5,2\n2,,x\n3,NaN,4\n")
     got = {(r.pos, r.series): r.value for r in files.read_csv_series(spark, str(tmp_path / "s.csv"), "id").collect()}
     assert got == {(0, "a"): 1.5, (0, "b"): 2.0, (1, "a"): None, (1, "b"): None, (2, "a"): None, (2, "b"): 4.0}
+    (tmp_path / "h.csv").write_text("made by x\n\nid,a\n7,0.5\n8,\"1.5\"\n")
+    assert [(r.pos, r.series, r.value) for r in files.read_csv_series(spark, str(tmp_path / "h.csv"), "id", 1).orderBy("pos").collect()] == [(0, "a", 0.5), (1, "a", 1.5)]
     out = files.write_csv_series(files.read_csv_series(spark, str(tmp_path / "s.csv"), "id"), str(tmp_path / "s.csv"), ["a", "b"], "fixed")
     assert out.endswith("s_filt0.csv") and spark.read.csv(out, header=True).count() == 3
 
 
 def test_streaming_appends_in_order(spark, tmp_path):
     schema = "obs_date date, v int"
-    store = append.StoredCube(spark, str(tmp_path / "cube"))
+    store = append.StoredCube(spark, str(tmp_path / "cube"), cube=None, keys=())
 
     def push(days, v):
         spark.createDataFrame([(dt.date(2020, 1, d), v) for d in days], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -221,7 +223,7 @@ def test_streaming_appends_in_order(spark, tmp_path):
         append.append_stream(s, store, str(tmp_path / "cp")).awaitTermination()
 
     push([1, 2], 0)
-    push([2, 3], 1)
+    push([2, 3], 1)  # no keys: one row a date
     assert sorted((r.obs_date.day, r.v) for r in store.read().collect()) == [(1, 0), (2, 1), (3, 1)]
     store.append(store.read())  # a batch that was written already
     store.append(store.read().where("v = 9"))  # an empty one
@@ -233,6 +235,53 @@ def test_streaming_appends_in_order(spark, tmp_path):
         append.append_stream(None, store, "", expected_last=dt.date(2020, 1, 9))
 
 
+def test_streams_keep_what_other_batches_and_cubes_wrote(spark, tmp_path):
+    """A date over two batches, two cubes in one table, a pixel delivered again, a repeated batch."""
+    store = append.StoredCube(spark, str(tmp_path / "cube"))
+    batch = lambda *rows: spark.createDataFrame([(c, p, dt.date(2020, 1, d), v) for c, p, d, v in rows], "cube_id string, pixel_id bigint, obs_date date, value smallint")
+    rows = lambda: sorted((r.cube_id, r.pixel_id, r.obs_date.day, r.value) for r in store.read().collect())
+    store.append(batch(("VIM/a b", 1, 1, 10), ("VIM/a b", 2, 1, 11)))
+    store.append(batch(("VIM/a b", 3, 1, 12)))
+    store.append(batch(("B", 1, 1, 20)))
+    assert rows() == [("B", 1, 1, 20), ("VIM/a b", 1, 1, 10), ("VIM/a b", 2, 1, 11), ("VIM/a b", 3, 1, 12)]
+    for _ in range(2):
+        store.append(batch(("VIM/a b", 2, 1, 99), ("VIM/a b", 1, 2, 13)))
+    assert rows() == [("B", 1, 1, 20), ("VIM/a b", 1, 1, 10), ("VIM/a b", 1, 2, 13), ("VIM/a b", 2, 1, 99), ("VIM/a b", 3, 1, 12)]
+    store.append(batch(("B", 1, 2, 21)))  # each cube has its own axis
+    with pytest.raises(ValueError, match="a b"):
+        store.append(batch(("VIM/a b", 1, 1, 0)).where("false").union(batch(("VIM/a b", 7, 1, 1))))
+    assert store.dates("B") == [dt.date(2020, 1, 1), dt.date(2020, 1, 2)] and store.last("none") is None
+
+
+def test_upsert_guards_each_cube(spark):
+    t = lambda *rows: spark.createDataFrame([(c, dt.date(2020, 1, d), v) for c, d, v in rows], "cube_id string, obs_date date, v int")
+    old = t(("a", 1, 0), ("a", 2, 0), ("b", 9, 0))
+    assert cube.upsert(old, t(("a", 2, 1), ("a", 3, 1)), by=("cube_id",)).count() == 4  # before b's last date
+    with pytest.raises(ValueError, match="b: stored"):
+        cube.upsert(old, t(("a", 5, 1), ("b", 3, 1)), by=("cube_id",))
+    cube.require_last(t(("a", 2, 0), ("b", 2, 0), ("b", 1, 0)), dt.date(2020, 1, 2))
+    with pytest.raises(ValueError, match="b at 2020-01-01"):
+        cube.require_last(t(("a", 2, 0), ("b", 1, 0)), dt.date(2020, 1, 2))
+
+
+def test_posix_checksum_by_lanes():
+    import random
+
+    def plain(data):
+        c = 0
+        for byte in [*data, *(len(data) >> 8 * k & 255 for k in range((len(data).bit_length() + 7) // 8))]:
+            c ^= byte << 24
+            for _ in range(8):
+                c = (c << 1 ^ 0x04C11DB7 if c & 0x80000000 else c << 1) & 0xFFFFFFFF
+        return c ^ 0xFFFFFFFF
+
+    rnd = random.Random(1)
+    assert files.posix_cksum(b"123456789") == 930766865
+    for n in (0, 1, 63, 64, 65, 1000, 4097):
+        data = rnd.randbytes(n)
+        assert files.posix_cksum(data, 64) == files.posix_cksum(data) == plain(data)
+
+
 def test_streaming_tail_smoother(spark, tmp_path):
     rows = [(k, d, float(d * (k + 1))) for k in range(2) for d in range(10)]
     spark.createDataFrame(rows, "key bigint, day bigint, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
@@ -240,6 +289,9 @@ def test_streaming_tail_smoother(spark, tmp_path):
     q = append.smooth_tail_stream(s, 6, 1.0).writeStream.outputMode("update").format("memory").queryName("tails").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination()
     assert sorted((r.key, r.day, round(r.z, 6)) for r in spark.table("tails").collect()) == [(0, 9, 9.0), (1, 9, 18.0)]
+    q = append.smooth_tail_stream(s, 6, 1.0, 3).writeStream.outputMode("update").format("memory").queryName("tails3").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp3")).start()
+    q.awaitTermination()
+    assert sorted((r.key, r.day, round(r.z, 6)) for r in spark.table("tails3").collect()) == [(k, d, float(d * (k + 1))) for k in range(2) for d in (7, 8, 9)]
 
 
 def test_parquet_blocks_are_copied(spark, tmp_path):
