@@ -70,6 +70,16 @@ def smooth_name(cube: Column, step: int | None) -> Column:
     return F.regexp_replace(cube, r"\.([^.]+)$", f".tx{letter}.$1")
 
 
+def first_reference(granules: DataFrame, *by: str) -> DataFrame:
+    """(by, path): the file that a cube's grid is taken from, the first one by file name; ties go to the least path."""
+    return granules.groupBy(*by).agg(F.min(F.struct("filename", "path")).alias("m")).select(*by, F.col("m.path").alias("path"))
+
+
+def not_downloaded(wanted: DataFrame, have: DataFrame, key: str = "filename") -> DataFrame:
+    """Wanted files that are not there yet: what the next round of downloads asks for. Rows without a key stay wanted."""
+    return wanted.join(have.select(key).distinct(), key, "left_anti")
+
+
 def latest_versions(granules: DataFrame, *by: str) -> DataFrame:
     """The row with the greatest proc_ts of each key; ties go to the greatest path. Nulls rank last."""
     rest = [c for c in granules.columns if c not in by]

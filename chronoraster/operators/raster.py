@@ -93,6 +93,39 @@ def warp_nearest(raster: DataFrame, gt: tuple[float, ...], box: tuple[float, flo
     return grid.join(raster.select(F.col("row").cast("bigint").alias("row"), F.col("col").cast("bigint").alias("col"), value), ["row", "col"], "left").select("trow", "tcol", value)
 
 
+def forward_warp(pixels: DataFrame, box: tuple[float, float, float, float], xres: Column, yres: Column, radius: float = C.SPHERE_RADIUS) -> DataFrame:
+    """Adds (trow, tcol) to (row, col, gt, is_global): the pixels of a grid in degrees over ``box`` whose nearest source pixel this is.
+
+    A row for each such target pixel, none for a source pixel that is nearest to
+    none or lies outside ``box``.  Neither the grid nor a join is needed: the
+    latitudes of a source row span a few target rows, and the longitudes of its
+    pixel at each of those a few target columns; of these (with one more at each
+    end) the ones are kept whose centre falls into the pixel.  ``gt`` is the
+    cube's affine transform, on the sinusoidal sphere, or in degrees where ``is_global``.
+    """
+    ulx, uly, lrx, lry = box
+    deg = F.lit(180 / math.pi)
+    gt = lambda i: F.col("gt")[i]
+    height, width = F.rint(F.abs((F.lit(uly) - F.lit(lry)) / yres)), F.rint(F.abs((F.lit(lrx) - F.lit(ulx)) / xres))
+    north = lambda y: F.when(F.col("is_global"), y).otherwise(y / F.lit(radius) * deg)
+    top, bottom = north(gt(3) + F.col("row") * gt(5)), north(gt(3) + (F.col("row") + 1) * gt(5))
+    low = F.greatest(F.lit(0.0), F.floor((F.lit(uly) - top) / yres - 0.5)).cast("int")
+    high = F.least(height - 1, F.ceil((F.lit(uly) - bottom) / yres - 0.5)).cast("int")
+    p = pixels.withColumns({"__xres": xres, "__yres": yres, "__width": width, "__a": low, "__z": high}).where("__a <= __z")
+    p = p.withColumn("trow", F.explode(F.sequence("__a", "__z"))).withColumn("__lat", F.lit(uly) - (F.col("trow") + 0.5) * F.col("__yres"))
+    east = lambda x: F.when(F.col("is_global"), x).otherwise(x / (F.lit(radius) * F.greatest(F.cos(F.col("__lat") / deg), F.lit(1e-12))) * deg)
+    left, right = east(gt(0) + F.col("col") * gt(1)), east(gt(0) + (F.col("col") + 1) * gt(1))
+    low = F.greatest(F.lit(0.0), F.floor((left - F.lit(ulx)) / F.col("__xres") - 0.5))
+    high = F.least(F.col("__width") - 1, F.ceil((right - F.lit(ulx)) / F.col("__xres") - 0.5))
+    p = p.withColumns({"__a": low, "__z": high}).where("__a <= __z")
+    p = p.withColumn("tcol", F.explode(F.sequence(F.col("__a").cast("int"), F.col("__z").cast("int"))))
+    lon, lat = F.lit(ulx) + (F.col("tcol") + 0.5) * F.col("__xres"), F.col("__lat")
+    x = F.when(F.col("is_global"), lon).otherwise(F.lit(radius) * (lon / deg) * F.cos(lat / deg))
+    y = F.when(F.col("is_global"), lat).otherwise(F.lit(radius) * (lat / deg))
+    hit = (F.floor((y - gt(3)) / gt(5)) == F.col("row")) & (F.floor((x - gt(0)) / gt(1)) == F.col("col"))
+    return p.where(hit).drop("__a", "__z", "__lat", "__xres", "__yres", "__width")
+
+
 def aoi_clip(points: DataFrame, box: tuple[float, float, float, float], x: str = "lon", y: str = "lat") -> DataFrame:
     """Pixels whose centre lies in ulx, uly, lrx, lry, after the warp."""
     ulx, uly, lrx, lry = box
@@ -111,8 +144,10 @@ def tile_size(raster: DataFrame, rows: int, cols: int) -> tuple[int, int]:
     return (0, 0) if m["row"] is None else ((m["row"] // rows + 1) * rows, (m["col"] // cols + 1) * cols)
 
 
-def sgrid_window(sgrid: DataFrame, grid_gt: tuple[float, ...], cube_gt: tuple[float, ...], rows: int, cols: int, grid_rows: int, grid_cols: int, value: str = "log10_s") -> DataFrame:
-    """(row, col, value) of a cube, cut out of a larger penalty raster of the same pixel size."""
+def sgrid_window(sgrid: DataFrame, grid_gt: tuple[float, ...], cube_gt: tuple[float, ...], rows: int, cols: int, grid_rows: int, grid_cols: int, value: str = "log10_s", grid_srs: str | None = None, cube_srs: str | None = None) -> DataFrame:
+    """(row, col, value) of a cube, cut out of a larger penalty raster of the same pixel size and, where both are named, reference system."""
+    if grid_srs and cube_srs and "".join(grid_srs.split()) != "".join(cube_srs.split()):
+        raise ValueError("reference systems differ")
     if abs(grid_gt[1] - cube_gt[1]) > 1e-6 or abs(grid_gt[5] - cube_gt[5]) > 1e-6:
         raise ValueError("pixel sizes differ")
     xoff, yoff = round((cube_gt[0] - grid_gt[0]) / grid_gt[1]), round((cube_gt[3] - grid_gt[3]) / grid_gt[5])
@@ -132,13 +167,13 @@ def group_name(cube: Column) -> Column:
     return F.regexp_replace(cube, r"\.h\d{2}v\d{2}\.", ".*.")
 
 
-def export_raster(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write a raster, one folder per image; images that exist are kept unless ``overwrite``."""
+def export_raster(df: DataFrame, path: str, overwrite: bool = False, by: tuple[str, ...] = ("image",)) -> None:
+    """Write a raster, one folder per image (``by``); images that exist are kept unless ``overwrite``."""
     if overwrite:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("image").parquet(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
         return
     spark = df.sparkSession
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
-        df = df.join(F.broadcast(spark.read.parquet(path).select("image").distinct()), "image", "left_anti")
-    df.write.mode("append").partitionBy("image").parquet(path)
+        df = df.join(F.broadcast(spark.read.parquet(path).select(*by).distinct()), list(by), "left_anti")
+    df.write.mode("append").partitionBy(*by).parquet(path)

@@ -195,6 +195,12 @@ def composites(raw: DataFrame, meta: DataFrame) -> DataFrame:
     return grid.select("cube_id", "pixel_id", from_julian(F.col("period").cast("string")).alias("obs_date"), stored(value).alias("value"))
 
 
+def smooth_meta(meta: DataFrame, step: int | None) -> DataFrame:
+    """Attributes of the smooth cubes: the raw cube's, under the smooth cube's name, with ``step`` as its temporal resolution if there is one."""
+    out = meta.withColumn("cube_id", granules.smooth_name(F.col("cube_id"), step))
+    return out if step is None else out.withColumn("temporalresolution", F.lit(step))
+
+
 def update_sgrid(old: DataFrame | None, smooth: DataFrame) -> DataFrame:
     """Penalties after an optimising run: smoothed pixels get the new one, others keep theirs."""
     new = smooth.where("smoothed").groupBy("cube_id", "pixel_id").agg(F.max("log10_s").cast("float").alias("log10_s"))
@@ -287,6 +293,54 @@ def export(smooth: DataFrame, meta: DataFrame, step: int | None, start: date | N
     return s.select(name.alias("image"), "cube_id", pixel_row(F.col("pixel_id"), F.col("cols")).alias("row"), pixel_col(F.col("pixel_id"), F.col("cols")).alias("col"), v.alias("value"))
 
 
+WORLD = (-180.0, 90.0, 180.0, -90.0)
+
+
+def window(
+    cubes: DataFrame,
+    meta: DataFrame,
+    box: tuple[float, float, float, float] = WORLD,
+    res: tuple[float, float] | None = None,
+    step: int | None = None,
+    start: date | None = None,
+    end: date | None = None,
+    clip: bool = True,
+    rounding: int = 0,
+    prefix: str = "",
+    value: str = "value",
+) -> DataFrame:
+    """(grp, image, trow, tcol, value): one mosaic in degrees per group of cubes and date, nearest, cut to ``box``.
+
+    A group are the cubes of one product and version over all tiles.  Values are
+    clipped to their cube's range and rounded to 10**rounding, the tiles warped
+    to a grid over ``box`` (ulx, uly, lrx, lry) of ``res`` degrees (the cube's
+    pixel size without it), and where tiles overlap the one latest by name wins
+    where it has data.  Pixels without data are left out.  Without a date column
+    (penalty grids) the image is named ``_sgrid``.
+
+    Pixels find their place in the grid by themselves (``forward_warp``), so the
+    one shuffle is the mosaic's.  Cubes without an affine transform or of null
+    size give no rows; a null ``is_global`` counts as false.
+    """
+    day = next((c for c in ("target_date", "obs_date") if c in cubes.columns), None)
+    m = complete_meta(meta).select("cube_id", "vmin", "vmax").join(
+        meta.select("cube_id", "cols", F.col("geotransform").alias("gt"), "vamcode", F.coalesce("is_global", F.lit(False)).alias("is_global")), "cube_id"
+    ).where((F.size("gt") == 6) & (F.col("cols") > 0))
+    label = date_label(F.col(day), step) if day else F.lit("_sgrid")
+    s = (raster.date_window(cubes, day, start, end) if day else cubes).select("cube_id", "pixel_id", *([day] if day else []), F.col(value).cast("double").alias("v")).where("v is not null")
+    s = join_small(s, m, "cube_id", "inner", MAX_CUBES)
+    v: Column = F.col("v")
+    if clip and day:
+        v = F.greatest("vmin", F.least("vmax", v))
+    if rounding:
+        v = raster.round_int(v, rounding)
+    image = F.concat(F.lit(prefix), F.lower(F.coalesce(F.nullif(F.trim("vamcode"), F.lit("")), F.lit("x"))), label)
+    s = s.select("cube_id", raster.group_name(F.col("cube_id")).alias("grp"), image.alias("image"), "gt", "is_global", pixel_row(F.col("pixel_id"), F.col("cols")).alias("row"), pixel_col(F.col("pixel_id"), F.col("cols")).alias("col"), v.alias("value"))
+    own = lambda i: raster.output_resolution(F.transform(F.array(F.col("gt")[1], F.col("gt")[5]), F.abs), F.col("is_global"))[i]
+    xres, yres = (F.lit(float(r)) for r in res) if res else (own(0), own(1))
+    return raster.mosaic(raster.forward_warp(s, box, xres, yres), "cube_id", ["grp", "image", "trow", "tcol"], "value")
+
+
 def check_group(smooth: DataFrame) -> None:
     """ValueError if cubes of one mosaic (same name but for the tile) have different axes."""
     day = "target_date" if "target_date" in smooth.columns else "obs_date"

@@ -160,9 +160,28 @@ SELECT cube_id, label, pixel, value FROM r QUALIFY row_number() OVER (PARTITION
 """
 
 
+P5_LIVE_SQL = """
+WITH r AS (SELECT file_id, cube_id, rtrim(label) AS label, written_at, first_pixel + unnest(range(len(vals))) AS pixel, unnest(vals) AS value FROM chunk_files WHERE len(vals) > 0),
+k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY cube_id, label, pixel ORDER BY written_at DESC NULLS LAST, file_id DESC) = 1)
+"""
+P5_COMPACTED_SQL = (
+    P5_LIVE_SQL
+    + """, i AS (SELECT *, pixel - row_number() OVER (PARTITION BY file_id ORDER BY pixel) AS island FROM k)
+SELECT cube_id, label, min(pixel) AS first_pixel, list(value ORDER BY pixel) AS vals FROM i GROUP BY cube_id, label, file_id, island
+"""
+)
+P5_PLAN_SQL = (
+    P5_LIVE_SQL
+    + """, n AS (SELECT cube_id, label, count(*) AS records FROM k GROUP BY 1, 2),
+o AS (SELECT cube_id, label, (coalesce(sum(records) OVER (PARTITION BY cube_id ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000000)::BIGINT AS out_no FROM n)
+SELECT cube_id, out_no, count(DISTINCT file_id) AS n_files, count(*) AS n_records FROM k JOIN o USING (cube_id, label) GROUP BY 1, 2
+"""
+)
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_grid, p1_counts, p2_found, p2_flags, p2_exact, p3_found, p3_filled, p3_attributes, p4_found, p4_changes, p5_found, p5_compacted, p5_plan, p5_records)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p1_counts": P1_COUNTS_SQL, "p2_exact": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_changes": P4_CHANGES_SQL, "p5_found": P5_SQL, "p5_records": P5_RECORDS_SQL}
+    return {"p1_found": P1_SQL, "p1_counts": P1_COUNTS_SQL, "p2_exact": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL, "p4_changes": P4_CHANGES_SQL, "p5_found": P5_SQL, "p5_records": P5_RECORDS_SQL, "p5_compacted": P5_COMPACTED_SQL, "p5_plan": P5_PLAN_SQL}

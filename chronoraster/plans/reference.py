@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -258,7 +259,19 @@ def product_wildcard(spark, d):
 @query("SELECT DISTINCT path FROM granules WHERE filename NOT IN (SELECT filename FROM granules WHERE collected_at < TIMESTAMP '2013-01-01')")
 def retry_difference(spark, d):
     g = table(spark, d, "granules")
-    return g.select("path", "filename").join(g.where("collected_at < timestamp '2013-01-01'").select("filename"), "filename", "left_anti").select("path").distinct()
+    return granules.not_downloaded(g.select("path", "filename"), g.where("collected_at < timestamp '2013-01-01'")).select("path").distinct()
+
+
+@query(with_sql(PARSED_SQL, "SELECT product, tile, version, arg_min(path, filename || ' ' || path) AS path FROM pg GROUP BY 1, 2, 3"))
+def reference_file(spark, d):
+    return granules.first_reference(parsed(spark, d), "product", "tile", "version")
+
+
+@query(
+    """SELECT regexp_replace(cube_id, '\\.([^.]+)$', '.txd.\\1') AS cube_id, rows, cols, nodata, 10::INTEGER AS temporalresolution, tshift, vmin, vmax FROM cube_meta"""
+)
+def smooth_attributes(spark, d):
+    return pipelines.smooth_meta(table(spark, d, "cube_meta"), 10).select("cube_id", "rows", "cols", "nodata", "temporalresolution", "tshift", "vmin", "vmax")
 
 
 # ---- axes
@@ -530,14 +543,36 @@ def smooth_tail(spark, d):
     s AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY cube_id, pixel_id, obs_date ORDER BY proc_ts DESC, obs_id DESC) = 1)
     SELECT lower(coalesce(nullif(trim(vamcode), ''), 'x')) || strftime(obs_date, '%Yj%j') AS image, s.cube_id, (pixel_id // cols)::BIGINT AS row, (pixel_id % cols)::BIGINT AS col,
     round_even(greatest(vmin, least(vmax, value::DOUBLE)) / 10::DOUBLE, 0) * 10::DOUBLE + 0.0::DOUBLE AS value
-    FROM s JOIN m ON s.cube_id = m.cube_id WHERE value IS NOT NULL AND obs_date BETWEEN DATE '2008-01-01' AND DATE '2008-12-31'"""
+    FROM s JOIN m ON s.cube_id = m.cube_id WHERE value IS NOT NULL"""
 )
 def export_raw(spark, d):
     s = standing(table(spark, d, "raw")).where("value is not null").drop("obs_id")
-    out = pipelines.export(s, table(spark, d, "cube_meta"), None, date(2008, 1, 1), date(2008, 12, 31), rounding=1)
+    out = pipelines.export(s, table(spark, d, "cube_meta"), None, rounding=1)
     return out.select("image", "cube_id", "row", F.col("col").cast("bigint").alias("col"), (F.col("value") + F.lit(0.0)).alias("value"))
 
 
+WINDOW_SQL = """WITH b AS (SELECT *, nullif(regexp_extract(cube_id, '^[^/]*/([^./]+)\\.', 1), '') AS product FROM cube_meta),
+    pm AS (SELECT product, max(vmin) AS lo, max(vmax) AS hi FROM b GROUP BY 1),
+    m AS (SELECT cube_id, cols, vamcode, geotransform AS gt, coalesce(is_global, FALSE) AS isg, coalesce(vmin, lo) AS vmin, coalesce(vmax, hi) AS vmax,
+          abs(geotransform[2]) / CASE WHEN is_global THEN 1::DOUBLE ELSE 112000::DOUBLE END AS res, 6371007.181::DOUBLE * pi() / 180 AS k FROM b LEFT JOIN pm USING (product)),
+    s AS (SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY cube_id, pixel_id, obs_date ORDER BY proc_ts DESC, obs_id DESC) = 1),
+    p AS (SELECT m.*, pixel_id, pixel_id // cols AS r, pixel_id % cols AS c FROM (SELECT DISTINCT cube_id, pixel_id FROM s) JOIN m USING (cube_id)),
+    t AS (SELECT *, unnest(range(greatest(0, floor((90 - (gt[4] + r * gt[6]) / CASE WHEN isg THEN 1 ELSE k END) / res))::BIGINT - 2, floor((90 - (gt[4] + (r + 1) * gt[6]) / CASE WHEN isg THEN 1 ELSE k END) / res)::BIGINT + 3)) AS trow FROM p),
+    l AS (SELECT *, 90 - (trow + 0.5::DOUBLE) * res AS lat, CASE WHEN isg THEN 1 ELSE k * greatest(cos((90 - (trow + 0.5::DOUBLE) * res) * (pi() / 180)), 1e-12) END AS kx FROM t),
+    u AS (SELECT *, unnest(range(greatest(0, floor(((gt[1] + c * gt[2]) / kx + 180) / res)::BIGINT - 2), least(round(360 / res)::BIGINT, floor(((gt[1] + (c + 1) * gt[2]) / kx + 180) / res)::BIGINT + 3))) AS tcol FROM l WHERE floor(((CASE WHEN isg THEN 1 ELSE k END) * lat - gt[4]) / gt[6]) = r AND trow BETWEEN 0 AND round(180 / res) - 1),
+    w AS (SELECT cube_id, pixel_id, vamcode, vmin, vmax, trow, tcol FROM u WHERE floor(((-180 + (tcol + 0.5::DOUBLE) * res) * kx - gt[1]) / gt[2]) = c)
+    SELECT regexp_replace(cube_id, '\\.h\\d{2}v\\d{2}\\.', '.*.') AS grp, lower(coalesce(nullif(trim(vamcode), ''), 'x')) || strftime(obs_date, '%Yj%j') AS image, trow::INTEGER AS trow, tcol::INTEGER AS tcol,
+    arg_max(round_even(greatest(vmin, least(vmax, value::DOUBLE)) / 10::DOUBLE, 0) * 10::DOUBLE + 0.0::DOUBLE, cube_id) AS value
+    FROM s JOIN w USING (cube_id, pixel_id) WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4"""
+
+
+@query(WINDOW_SQL)
+def window_mosaic(spark, d):
+    """All raw cubes: tiles of a group as one image a date in degrees, clipped and rounded."""
+    s = standing(table(spark, d, "raw")).drop("obs_id")
+    return pipelines.window(s, table(spark, d, "cube_meta"), rounding=1).withColumn("value", F.col("value") + F.lit(0.0))
+
+
 @query(
     with_sql(
         PARSED_SQL,
@@ -612,16 +647,22 @@ GRID_GT = (0.0, 1000.0, 0.0, 500000.0, 0.0, -1000.0)
 CUBE_GT = (10000.0, 1000.0, 0.0, 380000.0, 0.0, -1000.0)
 
 
-@query(with_sql(R_SQL, "SELECT (row - 120)::INTEGER AS row, (col - 10)::INTEGER AS col, value FROM rr WHERE row BETWEEN 120 AND 319 AND col BETWEEN 10 AND 49"))
+def raster_rows(spark, d) -> int:
+    return table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] + 1
+
+
+@query(with_sql(R_SQL, "SELECT (row - 120)::INTEGER AS row, (col - 10)::INTEGER AS col, value FROM rr WHERE row >= 120 AND col BETWEEN 10 AND 49"))
 def sgrid_window(spark, d):
-    return raster.sgrid_window(r_raster(spark, d), GRID_GT, CUBE_GT, 200, 40, 500, 64, "value")
+    """A cube of 40 columns from row 120 to the raster's last one."""
+    n = raster_rows(spark, d)
+    return raster.sgrid_window(r_raster(spark, d), GRID_GT, CUBE_GT, n - 120, 40, n, 64, "value")
 
 
-TILE_GT = (-2223901.039333, 92662.54330558334, 0.0, 2223901.039333, 0.0, -92662.54330558334)
-BOX = (-20.0, 20.0, 10.0, -5.0)
+BOX = (-20.0, 20.0, 10.0, -20.0)
 WARP_SQL = """
-tg AS (SELECT (t.id // 120)::INTEGER AS trow, (t.id % 120)::INTEGER AS tcol FROM range(12000) t(id)),
-ll AS (SELECT trow, tcol, -20::DOUBLE + (tcol + 0.5::DOUBLE) * 0.25::DOUBLE AS lon, 20::DOUBLE - (trow + 0.5::DOUBLE) * 0.25::DOUBLE AS lat FROM tg)
+nn AS (SELECT (max(vec_id) + 1)::BIGINT AS n, 6371007.181::DOUBLE * (pi() / 180) AS k FROM embeddings),
+tg AS (SELECT n, k, (id // 120)::INTEGER AS trow, (id % 120)::INTEGER AS tcol FROM (SELECT n, k, unnest(range(n * 120)) AS id FROM nn)),
+ll AS (SELECT n, k, trow, tcol, -20::DOUBLE + (tcol + 0.5::DOUBLE) * 0.25::DOUBLE AS lon, 20::DOUBLE - (trow + 0.5::DOUBLE) * (40::DOUBLE / n) AS lat FROM tg)
 """
 
 
@@ -629,18 +670,19 @@ ll AS (SELECT trow, tcol, -20::DOUBLE + (tcol + 0.5::DOUBLE) * 0.25::DOUBLE AS l
     with_sql(
         R_SQL,
         WARP_SQL,
-        """px AS (SELECT trow, tcol, floor((6371007.181::DOUBLE * (lat * (pi() / 180)) - 2223901.039333::DOUBLE) / -92662.54330558334::DOUBLE)::BIGINT AS row,
-        floor((6371007.181::DOUBLE * (lon * (pi() / 180)) * cos(lat * (pi() / 180)) + 2223901.039333::DOUBLE) / 92662.54330558334::DOUBLE)::BIGINT AS col FROM ll)""",
+        """px AS (SELECT trow, tcol, floor((k * lat - 20 * k) / (-40::DOUBLE / n * k))::BIGINT AS row, floor((k * lon * cos(lat * (pi() / 180)) + 20 * k) / (30 * k / 64))::BIGINT AS col FROM ll)""",
         "SELECT trow, tcol, value FROM px LEFT JOIN rr ON rr.row = px.row AND rr.col = px.col",
     )
 )
 def warp_nearest(spark, d):
-    return raster.warp_nearest(r_raster(spark, d), TILE_GT, BOX, 0.25, 0.25)
+    """The whole raster, laid over 40 degrees of latitude, on a grid of its own height."""
+    n, k = raster_rows(spark, d), raster.C.SPHERE_RADIUS * (math.pi / 180)
+    return raster.warp_nearest(r_raster(spark, d), (-20 * k, 30 * k / 64, 0.0, 20 * k, 0.0, -40 / n * k), BOX, 0.25, 40 / n)
 
 
 @query(with_sql(WARP_SQL, "SELECT trow, tcol, round(lon, 6) AS lon, round(lat, 6) AS lat FROM ll WHERE lon BETWEEN -12.3 AND 4.1 AND lat BETWEEN 1.2 AND 9.9"))
 def aoi_clip(spark, d):
-    g = raster.target_grid(spark, BOX, 0.25, 0.25)
+    g = raster.target_grid(spark, BOX, 0.25, 40 / raster_rows(spark, d))
     return raster.aoi_clip(g, (-12.3, 9.9, 4.1, 1.2)).select("trow", "tcol", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
@@ -662,12 +704,6 @@ def output_resolution(spark, d):
     return m.select("cube_id", F.round(raster.output_resolution(F.col("resolution"), F.col("is_global"))[0], 12).alias("xres"), raster.group_name(F.col("cube_id")).alias("grp"))
 
 
-@query("SELECT row, col, CASE WHEN vec_id IS NOT NULL THEN round_even(10000::DOUBLE * embedding[col + 1]::DOUBLE, 0)::BIGINT END AS value FROM (SELECT (t.id // 64)::INTEGER AS row, (t.id % 64)::INTEGER AS col FROM range(38400) t(id)) f LEFT JOIN (SELECT * FROM embeddings WHERE vec_id < 300) e ON e.vec_id = f.row")
-def fill_tile(spark, d):
-    """One tile of 600 x 64 over the first 300 rows, as its SQL fixes it; ``fill_raster`` is the whole raster."""
-    return raster.fill_tile(spark, r_raster(spark, d).where("row < 300"), 600, 64)
-
-
 @query(
     with_sql(
         R_SQL,
@@ -714,11 +750,19 @@ def xml_sidecar(spark, d):
     )
 )
 def csv_smooth(spark, d):
-    """Series as columns of a CSV: the curve, then the penalty and its log10 as two more lines."""
-    s = smooth.smooth(e_series(spark, d), ["user_id"], svalue=1.0).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("series"), "z", "log10_s")
-    curve = F.transform("z", lambda x: F.round(x.cast("float").cast("double"), 3))
-    both = F.concat(curve, F.array(F.pow(F.lit(10.0), "log10_s"), F.col("log10_s")))
-    return s.select("series", F.posexplode(both).alias("pos", "value")).select(F.col("pos").cast("bigint").alias("pos"), "series", "value")
+    """A CSV with a column per series, smoothed by the command; its file has the penalty and its log10 as two more lines."""
+    import uuid
+
+    from chronoraster.cli import csv_smooth as command
+    from chronoraster.functions.session import checkpoint_dir
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    s = e_series(spark, d).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("series"), F.posexplode(F.zip_with("y", "w", lambda y, w: F.when(w > 0, y))).alias("pos", "value"))
+    names = [r[0] for r in s.select("series").distinct().orderBy("series").collect()]  # one per column of the file
+    out = command(spark, files.write_csv_series(s, f"{base}/in.csv", names, "fixed"), "pos", svalue=1.0)
+    return files.read_csv_series(spark, out, "pos").withColumn("value", F.round("value", 3))
 
 
 @query(
@@ -806,4 +850,4 @@ def metadata_options(spark, d):
 @query("SELECT granule_id, list_element(string_split(path, '/'), -1) AS name, sha256(path) AS sha256 FROM granules")
 def cleanup_trace(spark, d):
     g = table(spark, d, "granules").select("granule_id", "path", F.col("path").cast("binary").alias("content"))
-    return g.select("granule_id", F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    return files.trace(g, keep=["granule_id"]).drop("at")

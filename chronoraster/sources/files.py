@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,17 +54,30 @@ def read_csv_series(spark: SparkSession, path: str, index: str | None = None, he
     starts = F.broadcast(spark.createDataFrame(list(first.items()), "block bigint, start bigint"))
     numbered = lines.join(starts, "block").select((F.col("start") + F.col("within") - (header_row + 1)).alias("pos"), "value")
     names = next(csv.reader([numbered.where("pos = -1").first()["value"]]))
-    cells = F.from_csv("value", ", ".join(f"`{c}` string" for c in names), {"mode": "PERMISSIVE"})
-    wide = numbered.where("pos >= 0").select("pos", cells.alias("c")).select("pos", "c.*")
-    long = wide.unpivot("pos", [c for c in names if c != index], "series", "value")
-    return long.select("pos", "series", F.nullif(F.expr("try_cast(value as double)"), F.lit(float("nan"))).alias("value"))
+    places = F.broadcast(spark.createDataFrame([(i, n) for i, n in enumerate(names) if n != index], "i int, series string"))  # one per column
+    quoted = F.split("value", r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    cells = F.when(F.contains("value", F.lit('"')), quoted).otherwise(F.split("value", ",", -1))
+    long = numbered.where("pos >= 0").select("pos", F.posexplode(cells).alias("i", "cell")).join(places, "i")
+    number = F.expr("""try_cast(trim(both '"' from trim(cell)) as double)""")
+    return long.select("pos", "series", F.nullif(number, F.lit(float("nan"))).alias("value"))
 
 
 def write_csv_series(df: DataFrame, path: str, names: list[str], mode: str) -> str:
-    """Write (pos, series, value) with one column per series; returns the folder, named after the mode."""
+    """Write (pos, series, value) with one column per series, as one file in a folder named after the mode, which is returned.
+
+    Series in the order of ``names``; ValueError while writing if a position lacks one of them.
+    """
     suffix = {"fixed": "_filt0", "vcurve": "_filtoptv", "vcurve_p": "_filtoptvp"}[mode]
     out = path.removesuffix(".csv") + suffix + ".csv"
-    df.groupBy("pos").pivot("series", names).agg(F.first("value")).orderBy("pos").write.mode("overwrite").option("header", True).csv(out)
+    head = io.StringIO()
+    csv.writer(head, lineterminator="").writerow(["pos", *names])
+    places = F.broadcast(df.sparkSession.createDataFrame(list(enumerate(names)), "i int, series string"))  # one per column
+    lines = df.select("pos", "series", "value").join(places, "series").groupBy("pos").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("o"))
+    whole = F.when(F.size("o") != len(names), F.raise_error(F.lit("the series have different lengths"))).otherwise(F.col("o"))
+    cells = F.transform(whole, lambda x: F.coalesce(x["value"].cast("string"), F.lit("")))
+    lines = lines.select(F.col("pos").cast("bigint").alias("pos"), F.concat(F.col("pos").cast("string"), F.lit(","), F.array_join(cells, ",")).alias("line"))
+    top = df.sparkSession.createDataFrame([(-1, head.getvalue())], "pos bigint, line string")
+    top.unionByName(lines).repartition(1).sortWithinPartitions("pos").select("line").write.mode("overwrite").text(out)
     return out
 
 
@@ -177,6 +191,6 @@ def validate_files(files: DataFrame) -> DataFrame:
     return sums.withColumn("valid", (F.col("length") == F.col("file_size")) & agree).drop("__plain", "cksum")
 
 
-def trace(files: DataFrame, when: Column | None = None) -> DataFrame:
-    """(name, sha256, at): what a clean-up would remove; files are never deleted here."""
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), (when if when is not None else F.current_timestamp()).alias("at"))
+def trace(files: DataFrame, when: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """(keep, name, sha256, at): what a clean-up would remove; files are never deleted here."""
+    return files.select(*(keep or []), F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), (when if when is not None else F.current_timestamp()).alias("at"))

@@ -91,7 +91,7 @@ def test_command_line(spark, tmp_path):
     cli.main(["collect", p("px2"), p("raw"), "--code", "VIM", "--last-collected", last])
     rows = spark.read.parquet(p("raw"))
     assert rows.count() == 48 and rows.select("obs_date").distinct().count() == 12
-    spark.createDataFrame([(A, 2, 2, None, "P", [1.0, -1.0], -3000.0, 8, 8, False, "VIM", -2000.0, 1050.0)], META).write.parquet(p("meta"))
+    spark.createDataFrame([(A, 2, 2, [0.0, 926.625, 0.0, 0.0, 0.0, -926.625], "P", [926.625, -926.625], -3000.0, 8, 8, False, "VIM", -2000.0, 1050.0)], META).write.parquet(p("meta"))
     full = rows.withColumn("obs_id", F.monotonically_increasing_id()).withColumn("proc_ts", F.lit(1).cast("bigint"))
     full.write.parquet(p("full"))
     cli.main(["smooth", p("full"), p("meta"), p("smooth"), "--soptimize", "--run-log", p("runs")])
