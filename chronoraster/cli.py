@@ -156,7 +156,8 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "check-dates":
         cube.missing_dates(read(a.raw), ["cube_id"], "obs_date", a.start, a.end).orderBy("cube_id", "obs_date").show(10_000, False)
     elif a.command == "compact":
-        parquet_blocks.compact_files(spark, read(a.folder).inputFiles(), a.out, a.target_mb << 20).show(1000, False)
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(a.folder)
+        parquet_blocks.compact_files(spark, listed.select("path"), a.out, a.target_mb << 20).show(1000, False)
 
 
 def save_window(a, cubes, meta) -> None:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoraster.functions.session import written
-from chronoraster.sources.parquet_blocks import compact_files
+from chronoraster.functions.session import remove_at_end, written
+from chronoraster.sources.parquet_blocks import _open, assemble, compact_files
 
 BLOCK = 512  # pixels per unit of work
 TARGET_RECORDS = 4_000_000  # records per output file
@@ -115,18 +115,57 @@ def compacted(files: DataFrame) -> DataFrame:
     return out.repartitionByRange("cube_id", "label", "first_pixel").sortWithinPartitions("cube_id", "label", "first_pixel")
 
 
-def rewrite(files: DataFrame, pieces: int = 64, target_bytes: int = 128 << 20) -> DataFrame:
-    """``compacted`` through files: the live blocks as small Parquet files, and those copied
-    block by block into few large ones without decoding (see ``parquet_blocks``)."""
+def rewrite(files: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
+    """``compacted`` through files: the live blocks as the small Parquet files of its tasks, and those
+    copied block by block into few large ones without decoding (see ``parquet_blocks``)."""
     spark = files.sparkSession
-    small = written(compacted(files).select("cube_id", "label", "first_pixel", "vals").repartition(pieces, "cube_id", "label"), "tiny")
+    small = written(compacted(files), "tiny")
     paths = small.inputFiles()
     if not paths:
         return small
-    report = compact_files(spark, paths, paths[0].rsplit("/", 1)[0] + "-large", target_bytes, one_schema=True)
-    out = [r["path"] for r in report.collect()]
+    folder = paths[0].rsplit("/", 1)[0] + "-large"
+    out = [r["path"] for r in compact_files(spark, paths, folder, target_bytes, one_schema=True).select("path").collect()]  # one per large file
     if not out:
         return small
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out[0].rsplit("/", 1)[0])
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    remove_at_end(spark, folder)
     return spark.read.schema(small.schema).parquet(*out)
+
+
+def consolidate(files: DataFrame, out_dir: str, pixel: str = "pixel", target_records: int = TARGET_RECORDS) -> DataFrame:
+    """Join tiny Parquet files of one schema that overlap, rewrite and repeat each other; the report of ``assemble``.
+
+    ``files``: (file_id, path, cube_id, label, first_pixel, n, written_at), one
+    row per file, which holds n rows for the pixels from first_pixel on (column
+    ``pixel``, in any order).  The planner (``live_runs``) tells which files hold
+    no record's last version: those are left out.  Files that are live as a
+    whole are copied as encoded column chunks.  Only files that are live in
+    parts are decoded, and their live rows encoded again, alone.  An output
+    holds whole dates of one cube until ``target_records``.
+    """
+    known = files.select("file_id", "path", "n")
+    listed = files.select("file_id", "cube_id", "label", "first_pixel", "written_at", F.array_repeat(F.lit(0), F.col("n").cast("int")).alias("vals"))
+    plan = copy_plan(listed, target_records)
+    per = plan.groupBy("file_id", "cube_id", "out_no", "label").agg(F.sum("n").alias("live"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("runs"))
+    inputs = per.join(known, "file_id").withColumn("runs", F.when(F.col("live") < F.col("n"), F.col("runs")))
+    name = F.concat(F.regexp_replace("cube_id", r"[^A-Za-z0-9._-]", "_"), F.lit("-"), F.sha2("cube_id", 256).substr(1, 8), F.lit("-"), F.lpad(F.col("out_no").cast("string"), 5, "0"), F.lit(".parquet"))
+    inputs = inputs.select(name.alias("out"), "path", "runs", "label", "file_id").repartition("out").sortWithinPartitions("out", "label", "file_id")
+
+    def load(row: dict) -> bytes | None:
+        if row["runs"] is None:
+            return None
+        import numpy as np
+        import pyarrow.compute as pc
+        import pyarrow.parquet as pq
+
+        filesystem, inner = _open(row["path"])
+        source = pq.ParquetFile(filesystem.open_input_file(inner))
+        table = source.read()
+        at = pc.cast(table.column(pixel), pa.int64()).to_numpy()
+        keep = np.zeros(len(at), bool)
+        for r in row["runs"]:
+            keep |= (at >= r["first"]) & (at < r["first"] + r["n"])
+        sink = pa.BufferOutputStream()
+        pq.write_table(table.filter(pa.array(keep)), sink, compression=source.metadata.row_group(0).column(0).compression)
+        return sink.getvalue().to_pybytes()
+
+    return assemble(inputs, out_dir, load)

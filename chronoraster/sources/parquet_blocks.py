@@ -14,16 +14,18 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from chronoraster.functions.session import cut
 
 MAGIC = b"PAR1"
 TARGET_BYTES = 256 << 20
-MAX_FILES_LISTED = 5_000_000  # rows of the file list that is planned on the driver
 
 # Thrift compact protocol type codes.
 STOP, TRUE, FALSE, BYTE, I16, I32, I64, DOUBLE, BINARY, LIST, SET, MAP, STRUCT = range(13)
@@ -172,20 +174,24 @@ def _open(path: str):
     return filesystem, inner
 
 
+def _footer(f, name: str) -> tuple[dict[int, tuple], int]:
+    size = f.size()
+    if size < 12:
+        raise ValueError(f"{name} is no Parquet file")
+    f.seek(size - 8)
+    tail = f.read(8)
+    if tail[4:] != MAGIC:
+        raise ValueError(f"{name} is no Parquet file")
+    n = struct.unpack("<I", tail[:4])[0]
+    f.seek(size - 8 - n)
+    return parse_footer(f.read(n)), size
+
+
 def read_footer(path: str) -> tuple[dict[int, tuple], int]:
     """(footer, size of the file)."""
     filesystem, inner = _open(path)
     with filesystem.open_input_file(inner) as f:
-        size = f.size()
-        if size < 12:
-            raise ValueError(f"{path} is no Parquet file")
-        f.seek(size - 8)
-        tail = f.read(8)
-        if tail[4:] != MAGIC:
-            raise ValueError(f"{path} is no Parquet file")
-        n = struct.unpack("<I", tail[:4])[0]
-        f.seek(size - 8 - n)
-        return parse_footer(f.read(n)), size
+        return _footer(f, path)
 
 
 def schema_key(footer: dict[int, tuple]) -> bytes:
@@ -214,112 +220,168 @@ def _moved(chunk: dict[int, tuple], by: int) -> dict[int, tuple]:
     return out
 
 
-def concatenate(paths: list[str], out: str) -> tuple[int, int, int]:
-    """Write one file with all row groups of ``paths``; (row groups, rows, bytes)."""
-    filesystem, inner = _open(out)
-    temp = f"{inner}.part-{os.getpid()}"
-    groups: list[dict[int, tuple]] = []
-    rows = wanted = wanted_groups = 0
-    first: dict[int, tuple] | None = None
-    with filesystem.open_output_stream(temp) as sink:
-        sink.write(MAGIC)
-        at = 4
-        for path in paths:
-            footer, size = read_footer(path)
-            if first is None:
-                first = footer
-            elif schema_key(footer) != schema_key(first):
-                raise ValueError(f"the schema of {path} differs")
-            wanted += footer[FILE_ROWS][1]
-            source, where = _open(path)
-            with source.open_input_file(where) as f:
-                for group in footer.get(FILE_GROUPS, (LIST, (STRUCT, [])))[1][1]:
-                    wanted_groups += 1
-                    columns, begin = [], at
-                    for chunk in group[GROUP_COLUMNS][1][1]:
-                        start, length = _span(chunk)
-                        if start < 4 or start + length > size - 8:
-                            raise ValueError(f"a column chunk lies outside {path}")
-                        f.seek(start)
-                        left = length
-                        while left:
-                            part = f.read(min(left, 8 << 20))
-                            if not part:
-                                raise ValueError(f"{path} ends within a column chunk")
-                            sink.write(part)
-                            left -= len(part)
-                        columns.append(_moved(chunk, at - start))
-                        at += length
-                    new = dict(group)
-                    new[GROUP_COLUMNS] = (LIST, (STRUCT, columns))
-                    if GROUP_OFFSET in new:
-                        new[GROUP_OFFSET] = (I64, begin)
-                    if GROUP_ORDINAL in new or len(groups) < 32768:
-                        new.pop(GROUP_ORDINAL, None)
-                    rows += group[GROUP_ROWS][1]
-                    groups.append(new)
-        if first is None:
+class Concatenator:
+    """One Parquet file made of the row groups of others, whose column chunks are copied byte for byte.
+
+    ``add`` takes a file's path, or the bytes of one.  The file appears under its
+    name with ``close``, after its counts were checked.
+    """
+
+    def __init__(self, out: str):
+        self.filesystem, self.inner = _open(out)
+        self.temp = f"{self.inner}.part-{os.getpid()}"
+        self.sink = self.filesystem.open_output_stream(self.temp)
+        self.sink.write(MAGIC)
+        self.at, self.rows, self.wanted, self.wanted_groups = 4, 0, 0, 0
+        self.groups: list[dict[int, tuple]] = []
+        self.first: dict[int, tuple] | None = None
+
+    def add(self, source: str | bytes) -> int:
+        """Bytes copied."""
+        if isinstance(source, bytes):
+            name, f = "a block", pa.BufferReader(source)
+        else:
+            filesystem, where = _open(source)
+            name, f = source, filesystem.open_input_file(where)
+        with f:
+            footer, size = _footer(f, name)
+            if self.first is None:
+                self.first = footer
+            elif schema_key(footer) != schema_key(self.first):
+                raise ValueError(f"the schema of {name} differs")
+            self.wanted += footer[FILE_ROWS][1]
+            begin = self.at
+            for group in footer.get(FILE_GROUPS, (LIST, (STRUCT, [])))[1][1]:
+                self.wanted_groups += 1
+                self._group(f, group, size, name)
+        return self.at - begin
+
+    def _group(self, f, group: dict[int, tuple], size: int, name: str) -> None:
+        columns, begin = [], self.at
+        for chunk in group[GROUP_COLUMNS][1][1]:
+            start, length = _span(chunk)
+            if start < 4 or start + length > size - 8:
+                raise ValueError(f"a column chunk lies outside {name}")
+            f.seek(start)
+            left = length
+            while left:
+                part = f.read(min(left, 8 << 20))
+                if not part:
+                    raise ValueError(f"{name} ends within a column chunk")
+                self.sink.write(part)
+                left -= len(part)
+            columns.append(_moved(chunk, self.at - start))
+            self.at += length
+        new = dict(group)
+        new[GROUP_COLUMNS] = (LIST, (STRUCT, columns))
+        if GROUP_OFFSET in new:
+            new[GROUP_OFFSET] = (I64, begin)
+        new.pop(GROUP_ORDINAL, None)
+        self.rows += group[GROUP_ROWS][1]
+        self.groups.append(new)
+
+    def close(self) -> tuple[int, int, int]:
+        """(row groups, rows, bytes) of the file."""
+        if self.first is None:
             raise ValueError("nothing to concatenate")
-        if rows != wanted or len(groups) != wanted_groups:
-            raise ValueError(f"{rows} rows copied, {wanted} expected")
-        footer = dict(first)
-        footer[FILE_ROWS] = (I64, rows)
-        footer[FILE_GROUPS] = (LIST, (STRUCT, groups))
+        if self.rows != self.wanted or len(self.groups) != self.wanted_groups:
+            raise ValueError(f"{self.rows} rows copied, {self.wanted} expected")
+        footer = dict(self.first)
+        footer[FILE_ROWS] = (I64, self.rows)
+        footer[FILE_GROUPS] = (LIST, (STRUCT, self.groups))
         raw = write_footer(footer)
         back = parse_footer(raw)
-        if back[FILE_ROWS][1] != rows or len(back[FILE_GROUPS][1][1]) != len(groups):
+        if back[FILE_ROWS][1] != self.rows or len(back[FILE_GROUPS][1][1]) != len(self.groups):
             raise ValueError("the footer does not read back")
-        sink.write(raw + struct.pack("<I", len(raw)) + MAGIC)
-        at += len(raw) + 8
-    filesystem.move(temp, inner)
-    return len(groups), rows, at
+        self.sink.write(raw + struct.pack("<I", len(raw)) + MAGIC)
+        self.sink.close()
+        self.filesystem.move(self.temp, self.inner)
+        return len(self.groups), self.rows, self.at + len(raw) + 8
+
+
+def concatenate(paths: list[str], out: str) -> tuple[int, int, int]:
+    """Write one file with all row groups of ``paths``; (row groups, rows, bytes)."""
+    c = Concatenator(out)
+    for p in paths:
+        c.add(p)
+    return c.close()
+
+
+REPORT = "path string, files bigint, row_groups bigint, rows bigint, bytes bigint, copied bigint, encoded bigint"
+
+
+def assemble(inputs: DataFrame, out_dir: str, load: Callable[[dict], bytes | None] | None = None) -> DataFrame:
+    """Write the outputs of ``inputs`` (out, path, more...), rows of one output in the order they stand in their partition.
+
+    Every output is one task's; it is written from a stream of rows, so its list
+    of inputs is never held.  ``load`` may return the bytes of a Parquet file to
+    take instead of the file at ``path`` (what had to be encoded again); None
+    copies the file.  Returns the report as a DataFrame, computed once.
+    """
+    root = out_dir.rstrip("/")
 
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, inner = _open(root)
+        filesystem.create_dir(inner, recursive=True)
+        now, files, copied, encoded, into = None, 0, 0, 0, None
 
-def compact_files(spark: SparkSession, paths: list[str], out_dir: str, target_bytes: int = TARGET_BYTES, one_schema: bool = False) -> DataFrame:
-    """(path, files, row_groups, rows, bytes) of the files written to ``out_dir``.
+        def done() -> pa.RecordBatch:
+            g, n, size = into.close()
+            row = (f"{root}/{now}", files, g, n, size, copied, encoded)
+            return pa.RecordBatch.from_pydict({k.split()[0]: pa.array([v], pa.string() if i == 0 else pa.int64()) for i, (k, v) in enumerate(zip(REPORT.split(", "), row))})
 
-    Footers are read by tasks; the driver plans from path, size and schema
-    digest only: files of a schema, in path order, until ``target_bytes``.  Each
-    output is one task's and moved into place when complete, so a repeated task
-    writes the same file again.  Inputs are never deleted.  ``one_schema``
-    raises if the inputs have several.
+        for b in batches:
+            for r in b.to_pylist():  # a row per input file
+                if r["out"] != now:
+                    if into is not None:
+                        yield done()
+                    now, files, copied, encoded, into = r["out"], 0, 0, 0, Concatenator(f"{root}/{r['out']}")
+                fresh = load(r) if load else None
+                n = into.add(r["path"] if fresh is None else fresh)
+                files += 1
+                copied, encoded = (copied + n, encoded) if fresh is None else (copied, encoded + n)
+        if into is not None:
+            yield done()
+
+    return cut(inputs.mapInArrow(copy, REPORT))
+
+
+def compact_files(spark: SparkSession, paths: list[str] | DataFrame, out_dir: str, target_bytes: int = TARGET_BYTES, one_schema: bool = False) -> DataFrame:
+    """(path, files, row_groups, rows, bytes, copied, encoded) of the files written to ``out_dir``.
+
+    ``paths``: a list, or a DataFrame (path).  Footers are read by tasks.  Files
+    of a schema, in path order, go into outputs of ``target_bytes``: each range
+    of the order sums up its own sizes, and the driver gets one sum per range
+    and schema.  Each output is moved into place when complete, so a repeated
+    task writes the same file again.  Inputs are never deleted.  ``one_schema``
+    raises if the inputs have several.  Files without rows are left out.
     """
-    listed = spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string").repartition(max(1, min(200, len(paths) // 50 + 1)))
+    listed = paths if isinstance(paths, DataFrame) else spark.createDataFrame([(p,) for p in paths], "path string")
+    listed = listed.select("path").distinct()
 
     def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         for b in batches:
             found = [(p, *read_footer(p)) for p in b.column("path").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"path": [p for p, _, _ in found], "size": [s for _, _, s in found], "schema": [sha256(schema_key(f)).hexdigest() for _, f, _ in found], "rows": [f[FILE_ROWS][1] for _, f, _ in found]})
+            yield pa.RecordBatch.from_pydict({"path": [p for p, _, _ in found], "size": [s for _, _, s in found], "schema": [sha256(schema_key(f)).hexdigest()[:16] for _, f, _ in found], "rows": [f[FILE_ROWS][1] for _, f, _ in found]})
 
-    info = sorted(listed.mapInArrow(footers, "path string, size bigint, schema string, rows bigint").collect(), key=lambda r: (r.schema, r.path))
-    if len(info) > MAX_FILES_LISTED:
-        raise ValueError("too many files for one plan; compact folder by folder")
-    if one_schema and len({r.schema for r in info}) > 1:
+    info = cut(listed.mapInArrow(footers, "path string, size bigint, schema string, rows bigint"))
+    if one_schema and info.select("schema").distinct().count() > 1:
         raise ValueError("the inputs have several schemas")
-    plan, size = [], 0
-    for r in info:
-        if r.rows == 0:
-            continue
-        if not plan or plan[-1][0] != r.schema or size + r.size > target_bytes:
-            plan.append((r.schema, []))
-            size = 0
-        plan[-1][1].append(r.path)
-        size += r.size
-    os_dir = out_dir.rstrip("/")
-    filesystem, inner = _open(os_dir)
-    filesystem.create_dir(inner, recursive=True)
-    tasks = spark.createDataFrame([(f"{os_dir}/part-{i:05d}-{s[:8]}.parquet", ps) for i, (s, ps) in enumerate(plan)], "out string, paths array<string>")
-
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for out, ps in zip(b.column("out").to_pylist(), b.column("paths").to_pylist()):
-                g, n, size = concatenate(ps, out)
-                yield pa.RecordBatch.from_pydict({"path": [out], "files": pa.array([len(ps)], pa.int64()), "row_groups": pa.array([g], pa.int64()), "rows": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
-
-    spread = tasks.repartition(max(1, len(plan)), F.col("out"))
-    done = spread.mapInArrow(copy, "path string, files bigint, row_groups bigint, rows bigint, bytes bigint").collect()
-    if sum(r.rows for r in done) != sum(r.rows for r in info):
-        raise ValueError("row totals differ")
-    return spark.createDataFrame(done, "path string, files bigint, row_groups bigint, rows bigint, bytes bigint")
+    ranges = cut(info.where("rows > 0").repartitionByRange("schema", "path").withColumn("range", F.spark_partition_id()))
+    sums = sorted(ranges.groupBy("schema", "range").agg(F.sum("size").alias("bytes")).collect(), key=lambda r: (r["schema"], r["range"]))
+    starts, total = [], {}
+    for r in sums:
+        starts.append((r["schema"], r["range"], total.get(r["schema"], 0)))
+        total[r["schema"]] = total.get(r["schema"], 0) + r["bytes"]
+    starts = F.broadcast(spark.createDataFrame(starts, "schema string, range int, start bigint"))  # one per range and schema
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("schema", "range").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.floor((F.col("start") + before) / target_bytes)
+    inputs = ranges.join(starts, ["schema", "range"]).select("path", F.concat(F.lit("part-"), F.lpad(number.cast("string"), 5, "0"), F.lit("-"), F.col("schema"), F.lit(".parquet")).alias("out"))
+    outputs = max(1, sum(t // target_bytes + 1 for t in total.values()))
+    report = assemble(inputs.repartition(outputs, "out").sortWithinPartitions("out", "path"), out_dir)
+    wrote, there = (df.agg(F.sum("rows")).first()[0] or 0 for df in (report, info))
+    if wrote != there:
+        raise ValueError(f"{wrote} rows written, {there} expected")
+    return report

@@ -61,6 +61,16 @@ def test_small_sides_are_checked(spark):
         bounded_rows(small, 19, "x")
 
 
+def test_small_sides_are_bounded_in_bytes(spark, monkeypatch):
+    from chronoraster.functions import session
+
+    wide = spark.range(20).select("id", F.sequence(F.lit(1), F.lit(1000)).alias("a"))
+    assert session.fetched(wide, 20) is not None and session.fetched(wide, 19) is None
+    monkeypatch.setattr(session, "MAX_BYTES", 100_000)
+    assert session.fetched(wide, 20, 100_000) is None and session.fetched(spark.range(20), 20, 10) is None
+    assert session.fetched(spark.range(20), 20, 100_000).num_rows == 20
+
+
 def test_written_tables_read_back(spark):
     df = spark.range(5).withColumn("a", F.array(F.col("id")))
     assert sorted(r.id for r in written(df, "t").collect()) == list(range(5))

@@ -323,3 +323,36 @@ def test_compaction_against_brute_force(spark):
             got[key] = v
     assert got == {k: v for k, (_, _, v) in last.items()}
     assert compact.superfluous_files(df.limit(0)).count() == 0
+
+
+def test_tiny_files_are_joined_by_copying_their_encoded_blocks(spark, tmp_path):
+    """Only files that are live in parts are decoded; bytes and records are counted."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from chronoraster.sources import parquet_blocks
+
+    (tmp_path / "in").mkdir()
+    rnd, rows, last = random.Random(4), [], {}
+    for i in range(250):
+        cube, label, first, n = rnd.choice(["VIM/a.1", "VIM_a.1"]), rnd.choice(["2020001", "2020009 "]), rnd.choice([0, 0, 40, 500, 2000 + 10 * i]), rnd.choice([10, 40])
+        at = dt.datetime(2020, 1, rnd.randint(1, 3))
+        vals = [rnd.choice([None, rnd.randint(-9, 9)]) for _ in range(n)]
+        path = str(tmp_path / "in" / f"f{i}.parquet")
+        pq.write_table(pa.table({"cube_id": [cube] * n, "label": [label.strip()] * n, "pixel": pa.array(range(first, first + n), pa.int64()), "value": pa.array(vals, pa.int16())}), path, compression="zstd")
+        rows.append((i, path, cube, label, first, n, at))
+        for k, v in enumerate(vals):
+            key = (cube, label.strip(), first + k)
+            if key not in last or (at, i) > last[key][0]:
+                last[key] = ((at, i), i, v, n)
+    df = spark.createDataFrame(rows, "file_id bigint, path string, cube_id string, label string, first_pixel bigint, n bigint, written_at timestamp")
+    report = compact.consolidate(df, str(tmp_path / "out"), target_records=1500).collect()
+    assert 2 <= len(report) <= 8
+    got = [tuple(r.values()) for f in report for r in pq.read_table(f.path).to_pylist()]
+    assert len(got) == len(set(got)) == len(last) and set(got) == {(*k, v) for k, (_, _, v, _) in last.items()}
+    live = {}
+    for _, i, _, n in last.values():
+        live[i] = (live.get(i, (0, n))[0] + 1, n)
+    whole = sum(sum(parquet_blocks._span(c)[1] for c in g[1][1][1]) for i, (k, n) in live.items() if k == n for g in parquet_blocks.read_footer(rows[i][1])[0][parquet_blocks.FILE_GROUPS][1][1])
+    assert sum(f.copied for f in report) == whole and 0 < sum(f.encoded for f in report) < whole
+    assert sum(f.files for f in report) == len(live) and compact.consolidate(df.limit(0), str(tmp_path / "none")).count() == 0
