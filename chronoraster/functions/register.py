@@ -14,22 +14,29 @@ def register(spark: SparkSession) -> list[str]:
     from chronoraster.functions import whittaker as k
 
     def each(f, *cols):
-        return pd.Series([None if any(c is None for c in r) else f(*r) for r in zip(*cols)])
-
-    def column(a):
-        return np.nan_to_num(np.asarray(a, float))[:, None]
+        """``f`` on matrices of equally long series (and equal further arguments but the penalty), one call a group."""
+        out, groups = [None] * len(cols[0]), {}
+        for i, r in enumerate(zip(*cols)):
+            if not any(c is None or c is pd.NA or isinstance(c, float) and np.isnan(c) for c in r):
+                groups.setdefault((len(r[0]), len(r[1]), *r[3:]), []).append(i)
+        for key, rows in groups.items():
+            y, w = (np.nan_to_num(np.stack([np.asarray(c[i], float) for i in rows], axis=1)) for c in cols[:2])
+            lam = (10.0 ** np.array([cols[2][i] for i in rows], float),) if len(cols) > 2 else ()
+            for i, v in zip(rows, f(y, w, *lam, *key[2:])):
+                out[i] = v
+        return pd.Series(out)
 
     @pandas_udf("array<double>")
     def ws2d(y: pd.Series, w: pd.Series, s: pd.Series) -> pd.Series:
-        return each(lambda a, b, c: k.ws2d(column(a), 10.0**c, column(b))[:, 0].tolist(), y, w, s)
+        return each(lambda a, b, lam: k.ws2d(a, lam, b).T.tolist(), y, w, s)
 
     @pandas_udf("array<double>")
     def ws2dp(y: pd.Series, w: pd.Series, s: pd.Series, p: pd.Series) -> pd.Series:
-        return each(lambda a, b, c, d: k.ws2dp(column(a), 10.0**c, column(b), d)[:, 0].tolist(), y, w, s, p)
+        return each(lambda a, b, lam, q: k.ws2dp(a, lam, b, q).T.tolist(), y, w, s, p)
 
     @pandas_udf("double")
     def lag1corr(y: pd.Series, w: pd.Series) -> pd.Series:
-        return each(lambda a, b: float(k.lag1corr(column(a), column(b) > 0)[0]), y, w)
+        return each(lambda a, b: k.lag1corr(a, b > 0).tolist(), y, w)
 
     @pandas_udf("bigint")
     def posix_cksum(t: pd.Series) -> pd.Series:

@@ -22,11 +22,14 @@ def to_series(long: DataFrame, keys: list[str], date_col: str, value: str, axis:
     s = s.join(place, "__day").drop("__day")
     if not unique:
         s = s.groupBy(*keys, "__i").agg(F.max("__v").alias("__v"))
-    s = s.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__i", "__v"))).alias("__m"))
-    idx = F.sequence(F.lit(0), F.lit(len(axis) - 1))
-    y = F.transform(idx, lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0)))
-    w = F.transform(idx, lambda i: F.when(F.map_contains_key("__m", i), 1.0).otherwise(0.0))
-    return s.select(*keys, y.alias("y"), w.alias("w"))
+    s = s.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__i", "__v"))).alias("__o"))
+    # each value and the empty steps up to the next one: linear in the axis, where looking up every step in a map is not
+    n, nothing = F.lit(len(axis)), F.lit(None).cast("double")
+    following = F.concat(F.transform(F.slice("__o", 2, len(axis)), lambda x: x["__i"]), F.array(n))
+    steps = F.flatten(F.zip_with("__o", following, lambda x, j: F.concat(F.array(x["__v"]), F.array_repeat(nothing, j - x["__i"] - 1))))
+    full = F.concat(F.array_repeat(nothing, F.col("__o")[0]["__i"]), steps)
+    s = s.select(*keys, full.alias("__f"))
+    return s.select(*keys, F.transform("__f", lambda v: F.coalesce(v, F.lit(0.0))).alias("y"), F.transform("__f", lambda v: F.when(v.isNotNull(), 1.0).otherwise(0.0)).alias("w"))
 
 
 def to_long(series: DataFrame, keys: list[str], axis: list[date], value: str, out: str = "z", date_name: str = "obs_date") -> DataFrame:

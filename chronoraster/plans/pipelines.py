@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta, timezone
 from uuid import uuid4
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoraster.functions.axis import date_label, from_julian, target_days
-from chronoraster.functions.session import join_small, settled, written
+from chronoraster.functions.session import fetched, join_small, settled, written
 from chronoraster.operators import cube, granules, incremental, raster
 from chronoraster.operators.cube import pixel_col, pixel_row
 from chronoraster.operators.regular import regular_grid
@@ -74,7 +75,8 @@ def smooth_cubes(
     than ``nsmooth``, give no rows.  ``sgrid`` is (cube_id, pixel_id, log10_s).
 
     One shuffle brings each pixel's readings together, packed as one number
-    each; the axis is joined by cube.  Pixels of a cube form a kernel batch.
+    each.  The cubes' axes are sent to the tasks once, if their bytes are within
+    a bound, else joined.  Pixels of cubes of nearly one length form a kernel batch.
     """
     if nsmooth and nupdate > nsmooth:
         raise ValueError("nsmooth must be at least nupdate")
@@ -100,50 +102,27 @@ def smooth_cubes(
         series = series.join(sgrid.select("cube_id", "pixel_id", F.col("log10_s").cast("double").alias("s")), ["cube_id", "pixel_id"], "left")
     else:
         series = series.withColumn("s", F.lit(None).cast("double"))
-    series = join_small(series, axis.select("cube_id", "full", "axis", "t", F.coalesce("tshift", F.lit(0)).alias("tshift")), "cube_id", "inner", MAX_CUBES)
+    axis = axis.select("cube_id", "full", "axis", "t", F.coalesce("tshift", F.lit(0)).alias("tshift"))
+    sent = fetched(axis, MAX_CUBES)
+    if sent is None:  # axes beyond the bound travel with each pixel
+        series, axes = series.join(axis, "cube_id"), None
+    else:
+        axes = raw.sparkSession.sparkContext.broadcast({r["cube_id"]: r for r in sent.to_pylist()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from chronoraster.functions.whittaker import ws2d
-
         plans: dict = {}
         for whole in batches:
-            cubes = np.array(whole.column("cube_id").to_pylist(), object)
-            for c in np.unique(cubes.astype(str)):
-                at = np.flatnonzero(cubes == c)
-                for i in range(0, len(at), ROWS):
-                    b = whole.take(pa.array(at[i : i + ROWS]))
+            names = whole.column("cube_id").to_pylist()
+            if axes is None:
+                for i, c in enumerate(names):
                     if c not in plans:
-                        plans[c] = _axis_plan(b, step, start, nupdate)
-                    days, place, pick, target, n_daily = plans[c]
-                    n = b.num_rows
-                    lists = b.column("p")
-                    flat = lists.flatten().to_numpy(zero_copy_only=False)
-                    row = np.repeat(np.arange(n), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
-                    code = flat % PACK
-                    keep = code != 0
-                    y, w = np.zeros((len(days), n)), np.zeros((len(days), n))
-                    where = np.searchsorted(days, flat[keep] // PACK)
-                    y[where, row[keep]], w[where, row[keep]] = code[keep] - SHIFT, 1.0
-                    enough = w.sum(axis=0) >= COVERAGE * len(days)
-                    z, log = np.where(w > 0, y, np.nan), np.full(n, np.nan)
-                    if enough.any():
-                        s = b.column("s").to_numpy(zero_copy_only=False).astype(float)
-                        z[:, enough], log[enough] = solve(y[:, enough], w[:, enough], s[enough], svalue, p, optimise, srange)
-                    if step is not None:
-                        out = np.full((len(pick), n), np.nan)
-                        if enough.any():
-                            d, dw = np.zeros((n_daily, int(enough.sum()))), np.zeros((n_daily, int(enough.sum())))
-                            d[place], dw[place] = z[:, enough], 1.0
-                            out[:, enough] = ws2d(d, INTERPOLATION_PENALTY, dw)[pick]
-                        z = out
-                    else:
-                        z = z[-nupdate:]
-                    k = len(target)
-                    idx = pa.array(np.repeat(np.arange(n), k))
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("cube_id").take(idx), b.column("pixel_id").take(idx), pa.array(np.tile(target, n), pa.int32()), pa.array(z.T.ravel(), from_pandas=True), pa.array(np.repeat(log, k), from_pandas=True), pa.array(np.repeat(enough, k))],
-                        names=["cube_id", "pixel_id", "day", "z", "log10_s", "smoothed"],
-                    )
+                        plans[c] = _axis_plan({k: whole.column(k)[i].as_py() for k in ("full", "axis", "t", "tshift")}, step, start, nupdate)
+            else:
+                for c in set(names) - plans.keys():
+                    plans[c] = _axis_plan(axes.value[c], step, start, nupdate)
+            mine = [plans[c] for c in names]
+            for at in _alike(np.array([len(p.days) for p in mine]), np.array([p.n_daily for p in mine])):
+                yield _smooth_batch(whole.take(pa.array(at)), [mine[i] for i in at], svalue, p, optimise, srange, step is not None)
 
     out = series.mapInArrow(run, "cube_id string, pixel_id bigint, day int, z double, log10_s double, smoothed boolean")
     return out.select("cube_id", "pixel_id", F.date_from_unix_date("day").alias("target_date"), stored(F.col("z")).alias("value"), "log10_s", "smoothed")
@@ -163,19 +142,96 @@ def without_rows(raw: DataFrame, smooth: DataFrame) -> DataFrame:
     return raw.select("cube_id").dropna().distinct().join(smooth.select("cube_id").distinct(), "cube_id", "left_anti")
 
 
-def _axis_plan(b: pa.RecordBatch, step: int | None, start: date | None, nupdate: int):
-    """(days, their places on the daily axis, target places, target days, length) of one cube."""
-    days = np.array(b.column("axis")[0].as_py())
-    full = [EPOCH + timedelta(int(d)) for d in b.column("full")[0].as_py()]
+@dataclass(frozen=True)
+class AxisPlan:
+    """A cube's days, their places on its daily axis, the places of its target days there, these days, and the daily axis's length."""
+
+    days: np.ndarray
+    place: np.ndarray | None
+    pick: np.ndarray | None
+    target: np.ndarray
+    n_daily: int
+
+
+def _axis_plan(row: dict, step: int | None, start: date | None, nupdate: int) -> AxisPlan:
+    days = np.array(row["axis"])
     if step is None:
-        return days, None, None, days[-nupdate:], 0
-    t, shift = int(b.column("t")[0].as_py() or 1), int(b.column("tshift")[0].as_py())
+        return AxisPlan(days, None, None, days[-nupdate:], 0)
+    full = [EPOCH + timedelta(int(d)) for d in row["full"]]
+    t, shift = int(row["t"] or 1), int(row["tshift"])
     daily, target = target_days(full, t, step, start)
     first = (daily[0] - EPOCH).days
     # the last shifted date may lie beyond the daily axis, which then grows
     n_daily = max(len(daily), int(days[-1]) + shift - first + 1)
     target = np.array([(d - EPOCH).days for d in target[-nupdate:]], int)
-    return days, days + shift - first, target - first, target, n_daily
+    return AxisPlan(days, days + shift - first, target - first, target, n_daily)
+
+
+CELLS = 2_000_000  # steps times series of a kernel call
+PADDING = 1.25  # longest axis of a call over its shortest one
+
+
+def _alike(steps: np.ndarray, daily: np.ndarray) -> Iterator[np.ndarray]:
+    """Series of a batch in groups of axes of nearly one length, up to ``ROWS`` series and ``CELLS`` cells each."""
+    order = np.lexsort((daily, steps))
+    i = 0
+    while i < len(order):
+        first, j, most = order[i], i + 1, max(daily[order[i]], steps[order[i]])
+        while j < len(order) and j - i < ROWS:
+            most = max(most, daily[order[j]], steps[order[j]])
+            near = steps[order[j]] <= PADDING * steps[first] and daily[order[j]] <= PADDING * max(daily[first], 1) and daily[first] <= PADDING * max(daily[order[j]], 1)
+            if not near or most * (j - i + 1) > CELLS:
+                break
+            j += 1
+        yield order[i:j]
+        i = j
+
+
+def _smooth_batch(b: pa.RecordBatch, plans: list[AxisPlan], svalue, p, optimise, srange, interpolate: bool) -> pa.RecordBatch:
+    """Curves of series of several cubes in one kernel call.
+
+    Shorter axes are filled up with steps of weight 0: the curve goes on there as
+    a straight line, which costs nothing, so it is the same before.
+    """
+    from chronoraster.functions.whittaker import ws2d
+
+    n = b.num_rows
+    steps = np.array([len(x.days) for x in plans])
+    lists = b.column("p")
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(n), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+    y, w = np.zeros((int(steps.max()), n)), np.zeros((int(steps.max()), n))
+    code, day = flat % PACK, flat // PACK
+    begin = np.searchsorted(row, np.arange(n + 1))
+    for i, x in enumerate(plans):
+        k = slice(begin[i], begin[i + 1])
+        keep = code[k] != 0
+        at = np.searchsorted(x.days, day[k][keep])
+        y[at, i], w[at, i] = code[k][keep] - SHIFT, 1.0
+    enough = w.sum(axis=0) >= COVERAGE * steps
+    z, log = np.where(w > 0, y, np.nan), np.full(n, np.nan)
+    if enough.any():
+        s = b.column("s").to_numpy(zero_copy_only=False).astype(float)
+        z[:, enough], log[enough] = solve(y[:, enough], w[:, enough], s[enough], svalue, p, optimise, srange)
+    if interpolate:
+        daily = max(x.n_daily for x in plans)
+        cols = np.flatnonzero(enough)
+        d, dw = np.zeros((daily, len(cols))), np.zeros((daily, len(cols)))
+        for j, i in enumerate(cols):
+            d[plans[i].place, j], dw[plans[i].place, j] = z[: steps[i], i], 1.0
+        if len(cols):
+            d = ws2d(d, INTERPOLATION_PENALTY, dw)
+        column = np.full(n, -1)
+        column[cols] = np.arange(len(cols))
+        values = [d[x.pick, column[i]] if enough[i] else np.full(len(x.pick), np.nan) for i, x in enumerate(plans)]
+    else:
+        values = [z[steps[i] - len(x.target) : steps[i], i] for i, x in enumerate(plans)]
+    size = np.array([len(v) for v in values])
+    idx = pa.array(np.repeat(np.arange(n), size))
+    return pa.RecordBatch.from_arrays(
+        [b.column("cube_id").take(idx), b.column("pixel_id").take(idx), pa.array(np.concatenate([x.target for x in plans]), pa.int32()), pa.array(np.concatenate(values), from_pandas=True), pa.array(np.repeat(log, size), from_pandas=True), pa.array(np.repeat(enough, size))],
+        names=["cube_id", "pixel_id", "day", "z", "log10_s", "smoothed"],
+    )
 
 
 def periods(first: Column, last: Column, t: Column) -> Column:

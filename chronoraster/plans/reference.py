@@ -448,28 +448,28 @@ def vcurve_opt(spark, d):
     return cube.to_long(s, ["user_id", "log10_s"], E_AXIS, "z").select("user_id", "obs_date", F.round("z", 6).alias("z"), F.round("log10_s", 6).alias("log10_s"))
 
 
-THREE = [0.0, 1.0, 2.0]
+RANGE = AUTO_RANGES[1].tolist()  # 16 penalties, 0 to 3
 
 
 def _warm() -> str:
     """Asymmetric solves penalty by penalty, each from the curve of the one before."""
     parts, prev = [], None
-    for i, x in enumerate(THREE):
+    for i, x in enumerate(RANGE):
         parts.append(f"s_{i} AS (SELECT k, 0 AS l, pow(10::DOUBLE, {x}::DOUBLE) AS lam, i, y, w FROM g)")
         parts.append(asymmetric(f"z{i}", f"s_{i}", "30", 0.9, prev))
         prev = f"z{i}"
-    parts.append("za AS (" + " UNION ALL ".join(f"SELECT k, {i} AS l, i, x FROM z{i}" for i in range(len(THREE))) + ")")
+    parts.append("za AS (" + " UNION ALL ".join(f"SELECT k, {i} AS l, i, x FROM z{i}" for i in range(len(RANGE))) + ")")
     return ",".join(parts)
 
 
 @query(
     with_sql(
-        E_ALL, _lambdas(THREE), _warm(), POINTS.format(r="za"), BEST, asymmetric("f", "s2", "30", 0.9),
+        E_ALL, _lambdas(RANGE), _warm(), POINTS.format(r="za"), BEST, asymmetric("f", "s2", "30", 0.9),
         "SELECT f.k AS user_id, cal.day AS obs_date, round(f.x, 6) AS z, round(mid, 6) AS log10_s FROM f JOIN cal ON cal.i = f.i JOIN op ON op.k = f.k",
     )
 )
 def ws2doptvp(spark, d):
-    s = smooth.smooth(e_series(spark, d), ["user_id"], optimise=True, srange=THREE, p=0.9)
+    s = smooth.smooth(e_series(spark, d), ["user_id"], optimise=True, srange=RANGE, p=0.9)
     return cube.to_long(s, ["user_id", "log10_s"], E_AXIS, "z").select("user_id", "obs_date", F.round("z", 6).alias("z"), F.round("log10_s", 6).alias("log10_s"))
 
 
