@@ -69,16 +69,18 @@ def fetched(df: DataFrame, rows: int, size: int = MAX_BYTES):
     return table if table is not None and table.num_rows <= rows and table.nbytes <= size else None
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", bound: int = 20_000) -> DataFrame:
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "left", bound: int = 20_000, keep: tuple[str, ...] = ()) -> DataFrame:
     """Broadcast ``small`` when it has at most ``bound`` rows and ``MAX_BYTES`` bytes, else a shuffled join.
 
     Rows within the bounds are fetched for the check and sent out as they are, so
-    that ``small`` is computed once.
+    that ``small`` is computed once.  ``keep``: how ``big`` is partitioned, and is
+    to be partitioned again after a shuffled join.
     """
     rows = fetched(small, bound)
     if rows is not None:
-        small = F.broadcast(big.sparkSession.createDataFrame(rows, schema=small.schema))
-    return big.join(small, on, how)
+        return big.join(F.broadcast(big.sparkSession.createDataFrame(rows, schema=small.schema)), on, how)
+    out = big.join(small, on, how)
+    return out.repartition(*keep) if keep else out
 
 
 def settled(df: DataFrame, bound: int) -> DataFrame:

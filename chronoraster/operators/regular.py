@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronoraster.functions.session import join_small
-from chronoraster.operators.standing import MAX_CUBES, PACK, SHIFT, complete_meta, packed, standing
+from chronoraster.operators.standing import MAX_CUBES, PACK, SHIFT, complete_meta, packed, standing_by_pixel
 
 GAP_PERIODS = 5  # longest gap that is interpolated, in periods ...
 GAP_DAYS = 180  # ... and in days; two gaps must fit into a shard of one year
@@ -32,12 +32,11 @@ def regular_grid(raw: DataFrame, meta: DataFrame, gap_periods: int = GAP_PERIODS
     of their product, give no rows; rows without cube, pixel or date are no
     readings; an empty table gives an empty grid.
     """
-    series = standing(raw).select("cube_id", "pixel_id", packed(F.col("obs_date"), F.col("value")).alias("p"))
-    # one partitioning for shards and for the exchange between them; a pixel has at most one reading a day
-    series = series.repartition("cube_id", "pixel_id")
+    # one partitioning for readings, for shards and for the exchange between them; a pixel has at most one reading a day
+    series = standing_by_pixel(raw).select("cube_id", "pixel_id", packed(F.col("obs_date"), F.col("value")).alias("p"))
     shards = series.groupBy("cube_id", "pixel_id", F.year(F.date_from_unix_date(F.floor(F.col("p") / PACK).cast("int"))).alias("shard")).agg(F.sort_array(F.collect_list("p")).alias("own"))
     info = complete_meta(meta).where("t > 0").select("cube_id", "t", F.transform("codes", lambda c: c.cast("bigint") + F.lit(SHIFT)).alias("codes"))
-    shards = join_small(shards, info, "cube_id", "inner", MAX_CUBES)
+    shards = join_small(shards, info, "cube_id", "inner", MAX_CUBES, ("cube_id", "pixel_id"))
     low = lambda p: F.pmod(p, F.lit(PACK))
     valid = F.filter("own", lambda p: (low(p) != 0) & ~F.array_contains("codes", low(p)))
     shards = shards.withColumn("valid", valid)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoraster.functions.session import join_small
-from chronoraster.operators.standing import MAX_CUBES, complete_meta, is_missing, standing
+from chronoraster.operators.standing import MAX_CUBES, complete_meta, is_missing, standing_by_pixel
 
 
 def flag_readings(raw: DataFrame, meta: DataFrame) -> DataFrame:
@@ -22,10 +22,10 @@ def flag_readings(raw: DataFrame, meta: DataFrame) -> DataFrame:
     work is bounded; copies are reduced before the shuffle.
     """
     info = complete_meta(meta).select("cube_id", "codes", "vmin", "vmax")
-    rows = join_small(standing(raw), info, "cube_id", "left", MAX_CUBES)
+    rows = join_small(standing_by_pixel(raw), info, "cube_id", "left", MAX_CUBES, ("cube_id", "pixel_id"))
     rows = rows.where(~is_missing(F.col("value"), F.coalesce("codes", F.array().cast("array<double>"))))
     rows = rows.select(F.col("cube_id").alias("c"), F.col("pixel_id").alias("x"), F.unix_date("obs_date").alias("d"), "obs_id", "value", F.col("vmin").cast("float"), F.col("vmax").cast("float"))
-    rows = rows.repartition("c", "x").sortWithinPartitions("c", "x", "d")
+    rows = rows.sortWithinPartitions("c", "x", "d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +47,36 @@ def standing(raw: DataFrame) -> DataFrame:
     return known.groupBy(*keys).agg(F.max("v").alias("v")).select(*keys, F.col("v.obs_id").alias("obs_id"), F.col("v.value").alias("value"))
 
 
+def standing_by_pixel(raw: DataFrame) -> DataFrame:
+    """``standing``, with all readings of a pixel in one partition (by cube_id and pixel_id) after one shuffle.
+
+    Copies of a reading are reduced batch by batch before the shuffle, so that a
+    group of copies of any size stays small; what is left of them is reduced
+    after it, where the partitioning by pixel serves the grouping by date, too.
+    """
+    keys = ["cube_id", "pixel_id", "obs_date"]
+    known = raw.select(*keys, "proc_ts", "obs_id", "value").dropna(subset=keys)
+
+    def last_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            if b.num_rows > 1:
+                cube = b.column("cube_id").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                pixel = b.column("pixel_id").to_numpy()
+                day = b.column("obs_date").cast(pa.int32()).to_numpy()
+                rank = [x for c in ("obs_id", "proc_ts") for x in (b.column(c).fill_null(0).to_numpy(), b.column(c).is_valid().to_numpy(zero_copy_only=False))]  # null ranks last
+                order = np.lexsort((*rank, day, pixel, cube))
+                same = (cube[order[1:]] == cube[order[:-1]]) & (pixel[order[1:]] == pixel[order[:-1]]) & (day[order[1:]] == day[order[:-1]])
+                if same.any():
+                    b = b.take(pa.array(order[np.append(~same, True)]))
+            yield b
+
+    near = known.mapInArrow(last_copies, known.schema).repartition("cube_id", "pixel_id")
+    one = near.groupBy(*keys).agg(F.max(F.struct("proc_ts", "obs_id", "value")).alias("v"))
+    return one.select(*keys, F.col("v.obs_id").alias("obs_id"), F.col("v.value").alias("value"))
+
+
 def is_missing(value: Column, codes: Column) -> Column:
     """Null, or one of the cube's codes for missing data."""
     return value.isNull() | F.coalesce(F.array_contains(codes, value.cast("double")), F.lit(False))

@@ -39,6 +39,13 @@ def test_standing_readings_are_reduced_before_the_one_shuffle(spark, raw_path):
     assert len(re.findall(r"\bExchange\b", tree)) == 1 and len(re.findall("Aggregate", tree)) == 2
 
 
+def test_one_shuffle_of_readings(spark, raw_path):
+    df = spark.read.parquet(raw_path)
+    for out in (regular.regular_grid(df, meta(spark)), spikes.flag_readings(df, meta(spark))):
+        tree = plan(out).split("\n\n")[0]
+        assert len(re.findall(r"(?<!Broadcast)Exchange\b", tree)) == 1, tree
+
+
 def test_no_cross_joins(spark, raw_path):
     df = spark.read.parquet(raw_path)
     outs = [regular.regular_grid(df, meta(spark)), spikes.flag_readings(df, meta(spark)), incremental.pending(spark.createDataFrame([], G), spark.createDataFrame([], R)), compact.superfluous_files(spark.createDataFrame([], FILES))]

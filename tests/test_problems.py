@@ -6,7 +6,7 @@ import random
 import pytest
 
 from chronoraster.operators import compact, fill, incremental, regular, spikes
-from chronoraster.operators.standing import complete_meta, standing
+from chronoraster.operators.standing import complete_meta, standing, standing_by_pixel
 
 RAW = "obs_id bigint, cube_id string, pixel_id bigint, obs_date date, value smallint, proc_ts bigint, loaded_at timestamp"
 META = "cube_id string, rows int, cols int, geotransform array<double>, projection string, resolution array<double>, nodata double, temporalresolution int, tshift int, is_global boolean, vamcode string, vmin double, vmax double"
@@ -37,6 +37,10 @@ def test_standing_takes_latest_then_greatest_id_and_drops_null_keys(spark):
     r = raw(spark, [(A, 1, day(1), 10, 1), (A, 1, day(1), 20, 2), (A, 1, day(1), 30, 2), (A, 1, day(1), 40, None), (None, 1, day(1), 5, 1), (A, None, day(1), 5, 1), (A, 1, None, 5, 1)])
     assert [(x.obs_id, x.value) for x in standing(r).collect()] == [(3, 30)]
     assert standing(r.limit(0)).count() == 0
+    assert [tuple(x) for x in standing_by_pixel(r).collect()] == [tuple(x) for x in standing(r).collect()] and standing_by_pixel(r.limit(0)).count() == 0
+    rnd = random.Random(6)
+    many = spark.createDataFrame([(rnd.choice([None, i]), rnd.choice([A, B]), rnd.randint(0, 3), day(rnd.randint(1, 9)), i % 100, rnd.choice([None, 1, 2, 3]), None) for i in range(3000)], RAW)
+    assert sorted(map(tuple, standing_by_pixel(many).collect()), key=str) == sorted(map(tuple, standing(many).collect()), key=str)
 
 
 def test_meta_is_completed_from_the_product(spark):
