@@ -9,28 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronoraster.functions.prototypes import Prototypes, fit
+from chronoraster.functions.prototypes import fit_table
 from chronoraster.functions.session import join_small, settled, written
 from chronoraster.operators.standing import MAX_CUBES, complete_meta, is_missing, product_of, standing_by_pixel
 
 CLUSTERS = 16
-FIT_RECORDS = 10_000  # records that the clusters are fitted on; all records are assigned to them
 # Weight of a mismatch against squared distance: product, code, tile row
 GAMMA = (1.0, 0.5, 0.25)
 
 
-def _sample(records: DataFrame, key: Column, size: int) -> list:
-    """About ``size`` records (all, if there are not more), chosen by a hash of ``key``, in its order."""
-    total = records.count()
-    if total > size:
-        records = records.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < int((1 << 40) * size / total))
-    return records.withColumn("__key", key).orderBy("__key").limit(2 * size).collect()
-
-
-def _model(sample: list, numeric: list[str], categorical: list[str], clusters: int, gamma: tuple[float, ...]) -> Prototypes:
-    num = np.array([[np.nan if r[c] is None else r[c] for c in numeric] for r in sample], float).reshape(-1, len(numeric))
-    cat = np.array([[r[c] for c in categorical] for r in sample], object).reshape(-1, len(categorical))
-    return fit(num, cat, np.ones(len(sample)), clusters, np.array(gamma))
+def _kinds(small: DataFrame, categorical: list[str]) -> tuple[DataFrame, list[tuple]]:
+    """``small``, settled, with the number ``kind`` of its categories, and the categories by number; the last one has none."""
+    small = settled(small.withColumn("kind", F.dense_rank().over(Window.orderBy(*categorical)) - 1), MAX_CUBES)
+    rows = small.select("kind", *categorical).distinct().orderBy("kind").collect()
+    return small, [tuple(r[c] for c in categorical) for r in rows] + [(None,) * len(categorical)]
 
 
 def _features(meta: DataFrame) -> DataFrame:
@@ -40,7 +32,7 @@ def _features(meta: DataFrame) -> DataFrame:
     return info.select("*", code.alias("code"), band.alias("band"))
 
 
-def fill_missing(raw: DataFrame, meta: DataFrame, clusters: int = CLUSTERS, fit_records: int = FIT_RECORDS) -> DataFrame:
+def fill_missing(raw: DataFrame, meta: DataFrame, clusters: int = CLUSTERS) -> DataFrame:
     """(obs_id, cube_id, pixel_id, obs_date, value, filled, method) of all standing readings.
 
     Missing are nulls and the cube's codes for missing data.  A record's level
@@ -56,9 +48,9 @@ def fill_missing(raw: DataFrame, meta: DataFrame, clusters: int = CLUSTERS, fit_
     ``+level``.  With nothing observed at all the value stays null (``none``).
     Values are rounded half even and kept within the cube's range.
 
-    The clusters are fitted on ``fit_records`` observed records, chosen by hash;
-    every record is assigned, and medians and levels are those of all records.
-    The driver gets that sample and one row per cube at most.
+    The clusters are fitted on all observed records, in passes over a copy of
+    their features; medians and levels are those of all records, too.  The driver
+    gets one row per cube at most, and per pass what ``fit_table`` says.
     """
     info = _features(meta)
     # what belongs to the cube is joined after the shuffle to the pixels, which then carries readings only
@@ -73,17 +65,18 @@ def fill_missing(raw: DataFrame, meta: DataFrame, clusters: int = CLUSTERS, fit_
     line = F.col("a.v") + (F.col("z.v") - F.col("a.v")) * (F.unix_date("obs_date") - F.col("a.d")) / (F.col("z.d") - F.col("a.d"))
     rows = rows.withColumn("level", F.rint(F.coalesce(line, "a.v", "z.v", "mean")).cast("int"))
     work = written(rows.select("obs_id", "cube_id", "pixel_id", "obs_date", "value", "missing", "sound", "level"), "fill")
-    of_cube = settled(info.select("cube_id", "product", "code", "band", "vmin", "vmax"), MAX_CUBES)
+    categorical = ["product", "code", "band"]
+    of_cube, kinds = _kinds(info.select("cube_id", *categorical, "vmin", "vmax"), categorical)
 
     angle = F.dayofyear("obs_date") * F.lit(2 * math.pi / 365.25)
     span = F.when(F.col("vmax") > F.col("vmin"), (F.col("level") - F.col("vmin")) / (F.col("vmax") - F.col("vmin")))
     numeric = {"span": span, "season_sin": 0.5 * F.sin(angle), "season_cos": 0.5 * F.cos(angle)}
-    categorical = ["product", "code", "band"]
     seen = join_small(work.where("sound"), of_cube, "cube_id", "left", MAX_CUBES)
-    seen = seen.select("obs_id", *categorical, *[c.alias(n) for n, c in numeric.items()])
-    model = _model(_sample(seen, F.col("obs_id"), fit_records), list(numeric), categorical, clusters, GAMMA)
+    seen = seen.select(span.alias("span"), F.coalesce("kind", F.lit(len(kinds) - 1)).alias("kind"), (F.dayofyear("obs_date") - 1).alias("day"))
+    angles = np.arange(1, 367) * (2 * math.pi / 365.25)
+    model = fit_table(seen, ["span"], kinds, clusters, np.array(GAMMA), 0.5 * np.column_stack([np.sin(angles), np.cos(angles)]))
     work = join_small(work, of_cube, "cube_id", "left", MAX_CUBES)
-    work = work.withColumn("cluster", model.nearest(list(numeric.values()), [F.col(c) for c in categorical])).drop("code", "band")
+    work = work.withColumn("cluster", model.nearest(list(numeric.values()), [F.col(c) for c in categorical])).drop("code", "band", "kind")
 
     # one histogram of deviations serves the medians of all parents
     hist = work.where("sound").groupBy("cube_id", "product", "cluster", (F.col("value") - F.col("level")).alias("dev")).agg(F.count("*").alias("n"), F.sum("level").alias("levels"))
@@ -122,7 +115,7 @@ def fill_missing(raw: DataFrame, meta: DataFrame, clusters: int = CLUSTERS, fit_
 META_FIELDS = ("nodata", "temporalresolution", "vmin", "vmax", "vamcode", "projection", "resolution")
 
 
-def fill_attributes(meta: DataFrame, clusters: int = CLUSTERS, fit_records: int = FIT_RECORDS) -> DataFrame:
+def fill_attributes(meta: DataFrame, clusters: int = CLUSTERS) -> DataFrame:
     """(cube_id, attributes..., filled): cubes' missing attributes, with the names of the filled ones.
 
     nodata, temporalresolution, vmin and vmax are those of the product's other
@@ -140,7 +133,8 @@ def fill_attributes(meta: DataFrame, clusters: int = CLUSTERS, fit_records: int
     kinds = {"product": product_of(F.col("cube_id")), "code": text(F.upper(F.regexp_extract("cube_id", r"^([^/]*)/", 1))), "tiling": F.col("is_global").cast("string")}
     df = meta.where("cube_id is not null").select("cube_id", *META_FIELDS[:4], *[v.alias(c) for c, v in own.items()], *[v.alias(f"n_{c}") for c, v in feature.items()], *[v.alias(f"k_{c}") for c, v in kinds.items()])
     num, cat = [f"n_{c}" for c in feature], [f"k_{c}" for c in kinds]
-    model = _model(_sample(df.select("cube_id", *num, *cat), F.col("cube_id"), fit_records), num, cat, clusters, (4.0, 4.0, 1.0))
+    seen, of_kind = _kinds(df.select(*num, *cat), cat)
+    model = fit_table(seen.withColumn("day", F.lit(0)), num, of_kind, clusters, np.array([4.0, 4.0, 1.0]))
     df = df.withColumn("cluster", model.nearest([F.col(c) for c in num], [F.col(c) for c in cat]))
 
     def common(tag: str) -> list[Column]:

@@ -200,6 +200,62 @@ def test_clusters_are_assigned_alike_in_a_plan(spark):
     assert got == model.assign(num, cat).tolist()
 
 
+def test_clusters_are_fitted_on_all_observed_records(spark, monkeypatch):
+    """More records than were once sampled, in memory and in passes over blocks, against the fit of all of them."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from chronoraster.functions import prototypes
+
+    pixels, days = 50, 500
+    rnd = random.Random(3)
+    value = [rnd.randint(-1500, 9500) for _ in range(pixels)]  # constant by pixel, so that it is the level, too
+    r = spark.range(pixels * days).select(
+        (F.col("id") + 1).alias("obs_id"),
+        F.when(F.col("id") % pixels < 49, A).otherwise(V).alias("cube_id"),
+        (F.col("id") % pixels).alias("pixel_id"),
+        F.date_add(F.lit(day(1)), (F.col("id") / pixels).cast("int")).alias("obs_date"),
+        F.element_at(F.array(*[F.lit(v) for v in value]), (F.col("id") % pixels + 1).cast("int")).cast("smallint").alias("value"),
+        F.lit(1).cast("bigint").alias("proc_ts"), F.lit(None).cast("timestamp").alias("loaded_at"),
+    )
+    r = r.unionByName(raw(spark, [(A, pixels, day(1), -1990)]))  # the one lowest record, at which the fit starts
+    value.append(-1990)
+    at = [(p, day(1) + dt.timedelta(d)) for d in range(days) for p in range(pixels)] + [(pixels, day(1))]
+    span = [(value[p] + 2000) / 12000 if p != 49 else (value[p] + 10000) / 20000 for p, _ in at]
+    angle = np.array([d.timetuple().tm_yday for _, d in at]) * (2 * np.pi / 365.25)
+    num = np.column_stack([span, 0.5 * np.sin(angle), 0.5 * np.cos(angle)])
+    cat = np.array([("MXD13A2", "VIM", "v01") if p != 49 else ("VNP13A2", "VIM", "v02") for p, _ in at], object)
+    want = prototypes.fit(num, cat, np.ones(len(at)), fill.CLUSTERS, np.array(fill.GAMMA))
+    models, nearest = [], prototypes.Prototypes.nearest
+    monkeypatch.setattr(prototypes.Prototypes, "nearest", lambda self, *a: models.append(self) or nearest(self, *a))
+    for bound in (100_000, 0):
+        monkeypatch.setattr(prototypes, "IN_MEMORY", bound, raising=False)
+        fill.fill_missing(r, meta(spark))
+    for got in models:
+        assert np.allclose(got.numeric, want.numeric, atol=1e-9) and (got.categorical == want.categorical).all()
+    assert len(models) == 2 and np.array_equal(models[0].numeric, models[1].numeric)
+
+
+def test_a_table_in_blocks_is_fitted_as_its_records_in_memory(spark, monkeypatch):
+    import numpy as np
+
+    from chronoraster.functions import prototypes
+
+    monkeypatch.setattr(prototypes, "IN_MEMORY", 0)
+    monkeypatch.setattr(prototypes, "BLOCK", 64)
+    rnd = random.Random(4)
+    kinds = [(None, "x"), ("a", "x"), ("b", None), (None, None)]
+    rows = [(rnd.choice([None, rnd.random(), float("nan")]), -rnd.random(), rnd.randrange(4), 0) for _ in range(900)]
+    num = np.array([[np.nan if a is None else a, b] for a, b, *_ in rows])
+    cat = np.array([kinds[k] for *_, k, _ in rows], object)
+    want = prototypes.fit(num, cat, np.ones(len(rows)), 6, np.array([0.3, 0.2]))
+    df = spark.createDataFrame(rows, "a double, b double, kind int, day int")
+    got = prototypes.fit_table(df, ["a", "b"], kinds, 6, np.array([0.3, 0.2]))
+    assert np.array_equal(got.numeric, want.numeric) and (got.categorical == want.categorical).all()
+    none = prototypes.fit_table(df.limit(0), ["a", "b"], kinds, 6, np.array([0.3, 0.2]))
+    assert none.numeric.shape == (1, 2) and none.categorical.tolist() == [[None, None]]
+
+
 def test_attributes_are_completed_and_named(spark):
     m = {r.cube_id: r for r in fill.fill_attributes(meta(spark)).collect()}
     assert m[B].projection == "P" and m[B].resolution == [1.0, -1.0] and m[B].temporalresolution == 16
